@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiergraph.llm._common import table
+from tiergraph.llm.jaccard_join import jaccard_components
 from tiergraph.llm.mixing import MIX_SQL, mix_sources
 from tiergraph.llm.quality_rules import score_quality
 from tiergraph.llm.token_counts import count_tokens
@@ -30,11 +31,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op4_mix_sources": op4_mix_sources,
         "op6_token_counts": op6_token_counts,
+        "op9_jaccard_join": op9_jaccard_join,
     }
 
 
