@@ -11,6 +11,7 @@ from tiergraph.llm._common import table
 from tiergraph.llm.jaccard_join import jaccard_components
 from tiergraph.llm.mixing import MIX_SQL, mix_sources
 from tiergraph.llm.quality_rules import score_quality
+from tiergraph.llm.suffix_dedup import remove_repeats
 from tiergraph.llm.token_counts import count_tokens
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,6 +22,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,6 +43,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_mix_sources": op4_mix_sources,
         "op6_token_counts": op6_token_counts,
         "op9_jaccard_join": op9_jaccard_join,
