@@ -55,11 +55,11 @@ def corpus(seed, n=260):
     return [(i, rng.choice([" ", "\n", "\t "]).join(w if rng.random() < 0.9 else w.upper() for w in words)) for i, words in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("width", "num", "den", "block"), [(3, 9, 10, 512), (5, 4, 5, 512), (3, 4, 5, 3), (5, 4, 5, 2)])
-def test_components_equal_brute_force(spark, width, num, den, block):
+@pytest.mark.parametrize(("width", "num", "den", "block", "most"), [(3, 9, 10, 512, 4096), (5, 4, 5, 512, 4), (3, 4, 5, 3, 2), (5, 4, 5, 2, 0)])
+def test_components_equal_brute_force(spark, width, num, den, block, most):
     rows = corpus(width * den + block)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(docs, width=width, num=num, den=den, block=block).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(docs, width=width, num=num, den=den, block=block, most=most).collect()}
     assert got == brute(rows, width, num, den)
 
 

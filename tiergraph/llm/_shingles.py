@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 
-_WORD = re.compile(r"[^ \t-\r]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: A worker forgets the words it has hashed when it knows so many.
@@ -25,16 +22,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHasher(dict):
     """word -> 64-bit hash, remembered."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= _REMEMBER:
             self.clear()
-        found = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         self[word] = found
         return found
 
     def of(self, text: str) -> np.ndarray:
-        """The hashes of a text's words in order, A-Z taken as a-z."""
-        found = _WORD.findall(text.translate(_LOWER) if not text.islower() else text)
+        """The hashes of a text's words in order, A-Z taken as a-z.
+
+        On bytes, lower() knows A-Z alone, and split() just the white space of ASCII.
+        """
+        found = text.encode("utf-8", "surrogatepass").lower().split()
         return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
 
 

@@ -10,9 +10,11 @@ Each such choice is a signature; sets that share none need no comparison.
 Equal sets are one class from the start, so copies cost nothing beyond their
 signatures and never make pairs. Classes that share a signature are compared
 exactly, on their whole sets, in the task that holds the signature's members, and
-what leaves it is a spanning forest of the links found, never all pairs. A
-signature with more members than a task should hold is dealt out as pairs of
-blocks of members, which together compare everything.
+what leaves it is a spanning forest of the links found, never all pairs. What
+signatures tie together is one task's work where it is small, so that each set
+travels once; where it is large, each signature is a group of its own, and one with
+more members than a task should hold is dealt out as pairs of blocks of members,
+which together compare everything.
 
 Defined results: a text with fewer words than a shingle is one shingle; a null,
 empty or blank text has no shingles and links with nothing; rows that share an id
@@ -23,6 +25,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -38,6 +41,8 @@ from tiergraph.llm._shingles import WordHasher, mix64, shingle_set
 BAND = 1.5
 #: Members of one signature that a task compares at once.
 BLOCK = 512
+#: What signatures tie together is compared in one task if it has so few members and shingles.
+TASK_MEMBERS, TASK_SHINGLES = 4096, 1 << 22
 _SEED = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -62,20 +67,32 @@ def bands_of(n: int, num: int, den: int) -> list[tuple[int, int]]:
     return found
 
 
+@lru_cache(maxsize=4096)
+def _edges(parts: int) -> np.ndarray:
+    """Where so many equal parts of the hash domain begin, the first one left out."""
+    return (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)
+
+
+@lru_cache(maxsize=65536)
+def _bands(n: int, num: int, den: int) -> tuple[tuple[int, int], ...]:
+    return tuple(bands_of(n, num, den))
+
+
 def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """The PartEnum signatures of a sorted set. Bands in which only equal sets are similar have none."""
     found = []
     mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(s ^ _SEED), dtype=np.uint64)])
-    for band, k in bands_of(len(s), num, den):
+    for band, k in _bands(len(s), num, den):
         if k == 0:
             continue
         n1, n2, k2 = plan_signatures(k)
-        edges = ((np.arange(1, n1 * n2, dtype=object) << 64) // (n1 * n2)).astype(np.uint64)
-        at = mixed[np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])]
+        at = np.empty(n1 * n2 + 1, np.uint64)
+        at[0], at[-1] = mixed[0], mixed[-1]
+        at[1:-1] = mixed[np.searchsorted(s, _edges(n1 * n2))]
         parts = (at[1:] - at[:-1]).reshape(n1, n2)
         for c, chosen in enumerate(combinations(range(n2), n2 - k2)):
             tag = np.arange(n1, dtype=np.uint64) + np.uint64((band << 40) + (c << 24))
-            found.append(mix64(mix64(parts[:, chosen].sum(axis=1, dtype=np.uint64)) + mix64(tag + _SEED)))
+            found.append(mix64(mix64(parts[:, chosen].sum(axis=1, dtype=np.uint64) if n2 > 1 else parts[:, 0]) + mix64(tag + _SEED)))
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
@@ -186,7 +203,7 @@ def _compare(num: int, den: int):
     return run
 
 
-def jaccard_links(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, most: int = TASK_MEMBERS) -> tuple[DataFrame, DataFrame]:
     """(members, links) for the texts whose sets have Jaccard >= num / den.
 
     members: doc_id, n_shingles, node (the least doc_id with an equal set; null for
@@ -202,25 +219,33 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5
     dealt = signed.where("doc_id is not null").select(F.explode("sigs").alias("sig"), "c1").repartition("sig")
     shared = dealt.groupBy("sig").agg(F.min("c1").alias("low"), F.max("c1").alias("high"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("c1")).alias("mark"), F.sum(F.xxhash64("c1").bitwiseAND(F.lit(0xFFFFFFFF))).alias("sum")).where("low <> high")
     rows = write_scratch(dealt.join(shared.hint("shuffle_hash"), "sig").select("sig", "c1", "low", "high", "rows", "mark", "sum"), "shared")
-    #: Signatures with the same members are one group; its least signature stands for it.
-    groups = rows.groupBy("low", "high", "rows", "mark", "sum").agg(F.min("sig").alias("sig")).select("sig", "rows")
-    classes = members.where("node is not null").groupBy("c1").agg(F.min("node").alias("node"))
-    grouped = write_scratch(rows.select("sig", "c1").join(groups, "sig").distinct().join(classes, "c1").select("sig", "node", "rows"), "grouped")
-
-    wanted = grouped.select("node").distinct()
-    sets = texts.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_sets(width), "node long, shingles binary")
-    n_blocks = F.ceil(F.col("rows") / block).cast("int")
-    cut = grouped.withColumn("n", n_blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    #: Pairs of blocks: with one, all is in part 0; else a member goes to the pair of its block and each block, its own included.
+    classes = members.where("node is not null").groupBy("c1").agg(F.min("node").alias("node"), F.min("n_shingles").alias("size"))
+    named = write_scratch(rows.select("sig", "c1", "low", "rows", "mark", "sum").join(classes, "c1").select("sig", "node", "size", "low", "rows", "mark", "sum"), "named")
+
+    #: Where all that signatures tie together fits into a task, it is one group, and each set travels once.
+    first = named.join(classes.select(F.col("c1").alias("low"), F.col("node").alias("least")), "low")
+    tied = connected_components(first.select("least", "node").distinct())
+    weights = tied.join(named.select("node", "size").distinct(), "node")
+    light = weights.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where((F.col("n") <= most) & (F.col("all") <= TASK_SHINGLES)).select("component")
+    placed = write_scratch(tied.join(light.withColumn("light", F.lit(True)), "component", "left").select("node", "component", F.coalesce("light", F.lit(False)).alias("light")), "placed")
+    lights = placed.where("light").select(F.col("component").alias("group"), F.lit(-1).alias("part"), F.lit(0).alias("block"), "node")
+
+    #: Else each signature is a group. Those with the same members are one, for which the least stands.
+    heavy = named.join(placed.where("not light").select("node"), "node")
+    groups = heavy.groupBy("low", "rows", "mark", "sum").agg(F.min("sig").alias("sig")).select("sig")
+    cut = heavy.select("sig", "node", F.ceil(F.col("rows") / block).cast("int").alias("n")).join(groups, "sig", "left_semi").distinct().withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    #: Pairs of blocks: a member goes to the pair of its block and each block, its own included.
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
     parts = cut.select("sig", "node", "block", "n", other).select(F.col("sig").alias("group"), (F.least("block", "other") * F.col("n") + F.greatest("block", "other")).alias("part"), "block", "node")
-    links = parts.join(sets, "node").repartition("group", "part").sortWithinPartitions("group", "part", "node").mapInArrow(_compare(num, den), "a long, b long").distinct()
+
+    sets = texts.withColumnRenamed("doc_id", "node").join(placed.select("node").hint("shuffle_hash"), "node", "left_semi").mapInArrow(_sets(width), "node long, shingles binary")
+    links = lights.unionByName(parts).join(sets, "node").repartition("group", "part").sortWithinPartitions("group", "part", "node").mapInArrow(_compare(num, den), "a long, b long").distinct()
     return members.select("doc_id", "n_shingles", "node"), write_scratch(links, "links")
 
 
-def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, most: int = TASK_MEMBERS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id that links reach, its own included)."""
-    members, links = jaccard_links(docs, width=width, num=num, den=den, id_col=id_col, text_col=text_col, block=block)
+    members, links = jaccard_links(docs, width=width, num=num, den=den, id_col=id_col, text_col=text_col, block=block, most=most)
     found = connected_components(links)
     own = F.coalesce("component", "node", "doc_id").alias("component_id")
     return members.join(found, "node", "left").select("doc_id", "n_shingles", own)
