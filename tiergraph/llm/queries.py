@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tiergraph.llm import toxicity
 from tiergraph.llm._common import table
+from tiergraph.llm.decontaminate import find_leaks
 from tiergraph.llm.jaccard_join import jaccard_components
 from tiergraph.llm.mixing import MIX_SQL, mix_sources
 from tiergraph.llm.quality_rules import score_quality
@@ -36,6 +38,24 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaks alone: a document that leaks nothing has no row."""
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "n_windows", "n_found", F.round("containment", 6).alias("containment"), "n_slots", "n_conflicts", "verbatim")
+
+
+def held_out(doc_id: Column) -> Column:
+    """Rows that no model here may learn from."""
+    return F.crc32(doc_id.cast("string")) % 4 == 2
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~held_out(F.col("doc_id"))))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
 
@@ -46,6 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_mix_sources": op4_mix_sources,
         "op6_token_counts": op6_token_counts,
+        "op7_decontaminate": op7_decontaminate,
+        "op8_toxicity": op8_toxicity,
         "op9_jaccard_join": op9_jaccard_join,
     }
 
