@@ -8,13 +8,13 @@ some of the n1 parts, and so agree on some choice of n2 - k2 of its smaller part
 Each such choice is a signature; sets that share none need no comparison.
 
 Equal sets are one class from the start, so copies cost nothing beyond their
-signatures and never make pairs. Classes that share a signature are compared
-exactly, on their whole sets, in the task that holds the signature's members, and
-what leaves it is a spanning forest of the links found, never all pairs. What
-signatures tie together is one task's work where it is small, so that each set
-travels once; where it is large, each signature is a group of its own, and one with
-more members than a task should hold is dealt out as pairs of blocks of members,
-which together compare everything.
+signatures and never make pairs. The classes that share a signature meet as sketches
+of at most 512 bytes, whose distance never exceeds that of the sets; pairs that these
+don't rule out tie classes together. What is tied together meets once more as whole
+sets, and each link is verified exactly. In both steps what leaves a task is a
+spanning forest, never all pairs. A signature with more members than a task should
+hold is dealt out as pairs of blocks of members, which together compare everything;
+so are the signatures of what is tied together but too large for one task.
 
 Defined results: a text with fewer words than a shingle is one shingle; a null,
 empty or blank text has no shingles and links with nothing; rows that share an id
@@ -24,7 +24,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -102,7 +102,7 @@ def _sign(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = WordHasher(), set()
         for batch in batches:
-            rows: list[tuple[int, int, int, np.ndarray]] = []
+            rows: list[tuple[int, int, int, np.ndarray, bytes | None]] = []
             for x in batch.column("text"):
                 s = shingle_set(hasher.of(x.as_py() or ""), width)
                 one = int(mix64(s).sum(dtype=np.uint64))
@@ -112,13 +112,13 @@ def _sign(width: int, num: int, den: int):
                     if len(seen) >= 1 << 20:
                         seen.clear()
                     seen.add(one)
-                rows.append((len(s), one, two, signatures(s, num, den) if new else np.empty(0, np.uint64)))
+                rows.append((len(s), one, two, signatures(s, num, den) if new else np.empty(0, np.uint64), sketch(s).tobytes() if new else None))
             flat = np.concatenate([r[3] for r in rows]) if rows else np.empty(0, np.uint64)
             ends = np.cumsum([0] + [len(r[3]) for r in rows]).astype(np.int32)
             longs = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), longs([r[1] for r in rows]), longs([r[2] for r in rows]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))],
-                ["doc_id", "n_shingles", "c1", "c2", "sigs"],
+                [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), longs([r[1] for r in rows]), longs([r[2] for r in rows]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), pa.array([r[4] for r in rows], pa.binary())],
+                ["doc_id", "n_shingles", "c1", "c2", "sigs", "sketch"],
             )
 
     return run
@@ -131,24 +131,34 @@ def _sets(width: int):
         hasher = WordHasher()
         for batch in batches:
             found = [shingle_set(hasher.of(x.as_py() or ""), width).tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "of"])
 
     return run
 
 
-def sketch(s: np.ndarray, buckets: int) -> np.ndarray:
-    """One byte for each of so many buckets of the domain. Sets that differ in d elements differ in at most d bytes."""
-    out = np.zeros(buckets, np.uint8)
-    np.bitwise_xor.at(out, (s % np.uint64(buckets)).astype(np.int64), (mix64(s) >> np.uint64(56)).astype(np.uint8))
-    return out
+def sketch(s: np.ndarray) -> np.ndarray:
+    """A byte for each of 16 to 512 ranges of the hash domain. Sets that differ in d elements differ in at most d bytes."""
+    ranges = 1 << min(9, max(4, (len(s) - 1).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint8), np.bitwise_xor.accumulate((mix64(s) >> np.uint64(56)).astype(np.uint8))])
+    at = np.empty(ranges + 1, np.uint8)
+    at[0], at[-1] = 0, sums[-1]
+    at[1:-1] = sums[np.searchsorted(s, _edges(ranges))]
+    return at[1:] ^ at[:-1]
 
 
-def forest(sets: list[np.ndarray], blocks: list[int], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that join what is connected among the sets, each verified exactly.
+def fold(drawn: np.ndarray, ranges: int) -> np.ndarray:
+    """A sketch as if of fewer ranges."""
+    while len(drawn) > ranges:
+        drawn = drawn[::2] ^ drawn[1::2]
+    return drawn
+
+
+def forest(sizes: list[int], sketches: list[np.ndarray], blocks: list[int], num: int, den: int, similar: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Links that join whatever is connected by pairs that their sketches don't rule out and that are similar.
 
     Where there are two blocks, only pairs of different ones are compared: other tasks have the rest.
     """
-    n, parent, links = len(sets), list(range(len(sets))), []
+    parent, links = list(range(len(sizes))), []
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -156,53 +166,63 @@ def forest(sets: list[np.ndarray], blocks: list[int], num: int, den: int) -> lis
             x = parent[x]
         return x
 
-    sizes = np.array([len(s) for s in sets])
-    block = np.array(blocks)
-    apart = len(set(blocks)) > 1
-    drawn = np.stack([sketch(s, int(min(512, max(16, sizes.max())))) for s in sets]) if n > 2 else None
-    for i in range(n - 1):
-        sums = sizes[i + 1 :] + sizes[i]
-        near = np.minimum(sizes[i + 1 :], sizes[i]) * den >= np.maximum(sizes[i + 1 :], sizes[i]) * num
-        if drawn is not None:
-            near &= (drawn[i + 1 :] != drawn[i]).sum(axis=1) * (den + num) <= (den - num) * sums
+    size, block = np.array(sizes), np.array(blocks)
+    apart = bool((block != block[0]).any())
+    drawn = np.stack([fold(x, min(map(len, sketches))) for x in sketches])
+    for i in range(len(sizes) - 1):
+        rest = size[i + 1 :]
+        near = np.minimum(rest, size[i]) * den >= np.maximum(rest, size[i]) * num
+        near &= (drawn[i + 1 :] != drawn[i]).sum(axis=1) * (den + num) <= (den - num) * (rest + size[i])
         if apart:
             near &= block[i + 1 :] != block[i]
         for j in (np.flatnonzero(near) + i + 1).tolist():
-            if (a := root(i)) != (b := root(j)):
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if both * den >= num * (len(sets[i]) + len(sets[j]) - both):
-                    parent[b] = a
-                    links.append((i, j))
+            if (a := root(i)) != (b := root(j)) and similar(i, j):
+                parent[b] = a
+                links.append((i, j))
     return links
 
 
-def _compare(num: int, den: int):
-    """Rows sorted by group: (group, part, block, node, shingles) -> links (a, b)."""
+def _compare(num: int, den: int, exact: bool):
+    """Rows sorted by group and part -> links (a, b).
+
+    exact: rows have the sets, and each link is verified. Else they have sizes and sketches, and links are candidates.
+    """
+
+    def links_of(rows: list[tuple]) -> list[tuple[int, int]]:
+        if not exact:
+            return forest([r[2] for r in rows], [np.frombuffer(r[3], np.uint8) for r in rows], [r[0] for r in rows], num, den, lambda i, j: True)
+        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+
+        def similar(i: int, j: int) -> bool:
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            return both * den >= num * (len(sets[i]) + len(sets[j]) - both)
+
+        return forest([len(s) for s in sets], [sketch(s) for s in sets], [r[0] for r in rows], num, den, similar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sets, blocks = None, [], [], []
+        key, rows = None, []
 
-        def close() -> pa.RecordBatch | None:
-            links = forest(sets, blocks, num, den) if len(sets) > 1 else []
-            if links:
-                return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in links], pa.int64()), pa.array([nodes[j] for _, j in links], pa.int64())], ["a", "b"])
-            return None
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1 and (links := links_of(rows)):
+                yield pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i, _ in links], pa.int64()), pa.array([rows[j][1] for _, j in links], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for g, p, b, node, s in zip(*(batch.column(c) for c in ("group", "part", "block", "node", "shingles")), strict=True):
-                if (now := (g.as_py(), p.as_py())) != key:
-                    if (out := close()) is not None:
-                        yield out
-                    key, nodes, sets, blocks = now, [], [], []
-                nodes.append(node.as_py())
-                sets.append(np.frombuffer(s.as_buffer(), np.uint64))
-                blocks.append(b.as_py())
-        if (out := close()) is not None:
-            yield out
+            for group, part, *row in zip(*(batch.column(c).to_pylist() for c in ("group", "part", "block", "node", "size", "of")), strict=True):
+                if (group, part) != key:
+                    yield from close()
+                    key, rows = (group, part), []
+                rows.append(row)
+        yield from close()
 
     return run
 
 
+def _compared(rows: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
+    """rows: group, part, block, node, size, of."""
+    dealt = rows.select("group", "part", "block", "node", "size", "of").repartition("group", "part").sortWithinPartitions("group", "part", "node")
+    return dealt.mapInArrow(_compare(num, den, exact), "a long, b long").distinct()
+
+
 def jaccard_links(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, most: int = TASK_MEMBERS) -> tuple[DataFrame, DataFrame]:
     """(members, links) for the texts whose sets have Jaccard >= num / den.
 
@@ -211,7 +231,7 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5
     connected. Ids are long integers or can be cast to them.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = write_scratch(texts.mapInArrow(_sign(width, num, den), "doc_id long, n_shingles long, c1 long, c2 long, sigs array<long>"), "signed")
+    signed = write_scratch(texts.mapInArrow(_sign(width, num, den), "doc_id long, n_shingles long, c1 long, c2 long, sigs array<long>, sketch binary"), "signed")
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "c1", "c2").agg(F.min("doc_id").alias("node"))
     members = write_scratch(signed.select("doc_id", "n_shingles", "c1", "c2").join(classes, ["n_shingles", "c1", "c2"], "left"), "members")
 
@@ -219,27 +239,27 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5
     dealt = signed.where("doc_id is not null").select(F.explode("sigs").alias("sig"), "c1").repartition("sig")
     shared = dealt.groupBy("sig").agg(F.min("c1").alias("low"), F.max("c1").alias("high"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("c1")).alias("mark"), F.sum(F.xxhash64("c1").bitwiseAND(F.lit(0xFFFFFFFF))).alias("sum")).where("low <> high")
     rows = write_scratch(dealt.join(shared.hint("shuffle_hash"), "sig").select("sig", "c1", "low", "high", "rows", "mark", "sum"), "shared")
+    sketches = signed.where("sketch is not null and doc_id is not null").groupBy("c1").agg(F.min("sketch").alias("sketch"))
     classes = members.where("node is not null").groupBy("c1").agg(F.min("node").alias("node"), F.min("n_shingles").alias("size"))
-    named = write_scratch(rows.select("sig", "c1", "low", "rows", "mark", "sum").join(classes, "c1").select("sig", "node", "size", "low", "rows", "mark", "sum"), "named")
-
-    #: Where all that signatures tie together fits into a task, it is one group, and each set travels once.
-    first = named.join(classes.select(F.col("c1").alias("low"), F.col("node").alias("least")), "low")
-    tied = connected_components(first.select("least", "node").distinct())
-    weights = tied.join(named.select("node", "size").distinct(), "node")
-    light = weights.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where((F.col("n") <= most) & (F.col("all") <= TASK_SHINGLES)).select("component")
-    placed = write_scratch(tied.join(light.withColumn("light", F.lit(True)), "component", "left").select("node", "component", F.coalesce("light", F.lit(False)).alias("light")), "placed")
-    lights = placed.where("light").select(F.col("component").alias("group"), F.lit(-1).alias("part"), F.lit(0).alias("block"), "node")
-
-    #: Else each signature is a group. Those with the same members are one, for which the least stands.
-    heavy = named.join(placed.where("not light").select("node"), "node")
-    groups = heavy.groupBy("low", "rows", "mark", "sum").agg(F.min("sig").alias("sig")).select("sig")
-    cut = heavy.select("sig", "node", F.ceil(F.col("rows") / block).cast("int").alias("n")).join(groups, "sig", "left_semi").distinct().withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    #: Pairs of blocks: a member goes to the pair of its block and each block, its own included.
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
-    parts = cut.select("sig", "node", "block", "n", other).select(F.col("sig").alias("group"), (F.least("block", "other") * F.col("n") + F.greatest("block", "other")).alias("part"), "block", "node")
-
-    sets = texts.withColumnRenamed("doc_id", "node").join(placed.select("node").hint("shuffle_hash"), "node", "left_semi").mapInArrow(_sets(width), "node long, shingles binary")
-    links = lights.unionByName(parts).join(sets, "node").repartition("group", "part").sortWithinPartitions("group", "part", "node").mapInArrow(_compare(num, den), "a long, b long").distinct()
+
+    #: Each signature is a group of its members. Of groups with the same members one is enough, that of the least signature.
+    groups = rows.groupBy("low", "high", "rows", "mark", "sum").agg(F.min("sig").alias("sig")).select("sig")
+    kept = rows.select("sig", "c1", "rows").join(groups, "sig", "left_semi").distinct().join(classes, "c1")
+    #: Large groups are dealt out as pairs of blocks: a member goes to the pair of its block and each block, its own included.
+    cut = kept.withColumn("n", F.ceil(F.col("rows") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    dealt_out = cut.select("sig", "c1", "node", "size", "block", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    parts = write_scratch(dealt_out.select(F.col("sig").alias("group"), (F.least("block", "other") * F.col("n") + F.greatest("block", "other")).alias("part"), "block", "c1", "node", "size"), "parts")
+    candidates = _compared(parts.join(sketches.withColumnRenamed("sketch", "of"), "c1"), num, den, exact=False)
+
+    #: What candidates tie together is one task's work where it is small, and each set travels once.
+    tied = connected_components(candidates)
+    weights = tied.join(classes.select("node", "size"), "node")
+    light = weights.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where((F.col("n") <= most) & (F.col("all") <= TASK_SHINGLES)).select("component", F.lit(True).alias("light"))
+    placed = write_scratch(weights.join(light, "component", "left").select("node", "size", "component", F.coalesce("light", F.lit(False)).alias("light")), "placed")
+    lights = placed.where("light").select(F.col("component").alias("group"), F.lit(-1).alias("part"), F.lit(0).alias("block"), "node", "size")
+    heavy = parts.join(placed.where("not light").select("node"), "node").select("group", "part", "block", "node", "size")
+    sets = texts.withColumnRenamed("doc_id", "node").join(placed.select("node").hint("shuffle_hash"), "node", "left_semi").mapInArrow(_sets(width), "node long, of binary")
+    links = _compared(lights.unionByName(heavy).join(sets, "node"), num, den, exact=True)
     return members.select("doc_id", "n_shingles", "node"), write_scratch(links, "links")
 
 
