@@ -32,6 +32,8 @@ _BARE = re.compile(r"(?<![^ \t-\r])[^\w \t-\r]+(?![^ \t-\r])")
 _STOP = re.compile(r"[.!?](?![^ \t-\r])")
 #: The symbols that the base rule counts.
 SYMBOLS = "#*$%&|<>"
+#: Rejected keys are broadcast up to so many rows (some 3 MB); beyond that they are shuffled.
+SMALL_ROWS = 200_000
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts", "n_bare", "n_stops", "n_distinct_words")
 
@@ -150,3 +152,12 @@ def score_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     scored = votes.withColumn("quality", 1 / (1 + F.exp(-logit))).withColumn("base_failed", failed)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+
+
+def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that are kept, with their columns. Rows are told apart by id and text."""
+    keyed = docs.withColumn("__quality_key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    scored = score_quality(keyed, id_col="__quality_key", text_col=text_col, **options)
+    gone = write_scratch(scored.where("not kept").select("__quality_key").distinct(), "rejected")
+    small = F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone
+    return keyed.join(small, "__quality_key", "left_anti").select(*docs.columns)
