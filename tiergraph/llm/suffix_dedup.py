@@ -373,9 +373,10 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     #: Rows that are equal share a key; their segments count as often as the rows do.
-    dealt = texts.where(F.octet_length("text") >= length).select("key", "text").mapInArrow(_scan(length, k), "h long, key long, c long, first long, count int, back int").repartition("h")
-    grams = dealt.groupBy("h").agg(F.count("*").alias("n"), (F.min("c") == F.max("c")).alias("equal")).where("n > 1")
-    shared = write_scratch(dealt.join(grams.hint("shuffle_hash"), "h").select("h", "key", "first", "count", "back", "n", "equal"), "shared")
+    scanned = write_scratch(texts.where(F.octet_length("text") >= length).select("key", "text").mapInArrow(_scan(length, k), "h long, key long, c long, first long, count int, back int"), "segments")
+    #: Counted before the shuffle, and written, so that the join may split a k-gram that copies make frequent.
+    grams = write_scratch(scanned.groupBy("h").agg(F.count("*").alias("n"), (F.min("c") == F.max("c")).alias("equal")).where("n > 1"), "grams")
+    shared = write_scratch(scanned.join(grams.hint("shuffle_hash"), "h").select("h", "key", "first", "count", "back", "n", "equal"), "shared")
 
     packed = texts.mapInArrow(_pack, f"key long, id {kind}, packed binary")
     open_ = shared.where(~F.col("equal")).groupBy("key").agg(F.collect_set(F.struct("h", "first", "count", "back")).alias("open"))
