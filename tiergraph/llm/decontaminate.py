@@ -109,9 +109,15 @@ def _slots(rows: DataFrame, window: int) -> DataFrame:
     """(…, words) -> (…, h, at, slot, value), a row for each placeholder of each window."""
     hashed = rows.withColumn("__h", word_hashes(F.col("words"))).withColumn("__w", window_hashes(F.col("__h"), window))
     own = [c for c in rows.columns if c != "words"]
-    opened = hashed.select(*own, "words", F.posexplode("__w").alias("at", "h"))
-    inside = F.filter(F.transform(F.slice("words", F.col("at") + 1, window), lambda w, i: F.struct(i.alias("slot"), w.alias("value"))), lambda x: _is_slot(x["value"]))
-    return opened.select(*own, "h", "at", F.explode(inside).alias("s")).select(*own, "h", "at", "s.slot", "s.value")
+
+    def inside(at: Column) -> Column:
+        words = F.transform(F.slice("words", at + 1, window), lambda w, i: F.struct(i.alias("slot"), w.alias("value")))
+        return F.filter(words, lambda x: _is_slot(x["value"]))
+
+    #: Windows without placeholders are left out before the words are copied to each row.
+    marked = F.filter(F.transform("__w", lambda h, at: F.struct(h.alias("h"), at.alias("at"), inside(at).alias("slots"))), lambda x: F.size(x["slots"]) > 0)
+    opened = hashed.select(*own, F.explode(marked).alias("x")).select(*own, "x.h", "x.at", F.explode("x.slots").alias("s"))
+    return opened.select(*own, "h", "at", "s.slot", "s.value")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
