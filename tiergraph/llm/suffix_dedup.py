@@ -9,6 +9,7 @@ times. This operator sorts a sparse suffix array instead, without losing a match
    segment; segments are what leaves a document, about one for every 69 bytes.
 2. Segments meet by their anchor's k-gram. A k-gram seen once repeats nothing. If
    all segments of a k-gram are equal, all their windows repeat.
+   Segments that equal another one repeat as well, and one of them stands for all.
 3. The rest, which stand at the edges of repeats, are compared as suffixes: from the
    anchor rightwards, and from the anchor leftwards. Each side is ordered by
    deep-shallow sorting: multikey quicksort, eight bytes a step, to a shallow depth;
@@ -376,11 +377,16 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
     scanned = write_scratch(texts.where(F.octet_length("text") >= length).select("key", "text").mapInArrow(_scan(length, k), "h long, key long, c long, first long, count int, back int"), "segments")
     #: Counted before the shuffle, and written, so that the join may split a k-gram that copies make frequent.
     grams = write_scratch(scanned.groupBy("h").agg(F.count("*").alias("n"), (F.min("c") == F.max("c")).alias("equal")).where("n > 1"), "grams")
-    shared = write_scratch(scanned.join(grams.hint("shuffle_hash"), "h").select("h", "key", "first", "count", "back", "n", "equal"), "shared")
+    shared = write_scratch(scanned.join(grams.hint("shuffle_hash"), "h").select("h", "c", "key", "first", "count", "back", "equal"), "shared")
+    #: Equal segments all repeat; one of them stands for them where their k-gram has others too.
+    mixed = shared.where(~F.col("equal"))
+    kinds = write_scratch(mixed.groupBy("h", "c").agg(F.count("*").alias("times"), F.min(F.struct("key", "first", "count", "back")).alias("one")), "kinds")
+    again = mixed.join(write_scratch(kinds.where("times > 1").select("h", "c"), "again").hint("shuffle_hash"), ["h", "c"], "left_semi")
+    whole = shared.where("equal").unionByName(again.select(*shared.columns)).select("key", F.col("first").alias("start"), (F.col("first") + F.col("count") + (length - 1)).alias("end"))
 
     packed = texts.mapInArrow(_pack, f"key long, id {kind}, packed binary")
-    open_ = shared.where(~F.col("equal")).groupBy("key").agg(F.collect_set(F.struct("h", "first", "count", "back")).alias("open"))
-    hot_grams = shared.where(~F.col("equal") & (F.col("n") > hot)).select("h").distinct()
+    open_ = kinds.select("h", "one.*").groupBy("key").agg(F.collect_set(F.struct("h", "first", "count", "back")).alias("open"))
+    hot_grams = write_scratch(kinds.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h"), "hot")
     contexts = packed.select("key", "packed").join(open_, "key").mapInArrow(_contexts(length), "h long, key long, first long, count int, back int, context binary")
     if hot_grams.isEmpty():
         runs = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_sort_groups(length), "key long, start long, end long")
@@ -388,8 +394,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
         contexts = write_scratch(contexts, "contexts")
         runs = contexts.join(hot_grams, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(_sort_groups(length), "key long, start long, end long")
         windows = write_scratch(contexts.join(hot_grams, "h", "left_semi").mapInArrow(_windows(length), "digest binary, key long, start long"), "windows")
-        again = windows.groupBy("digest").agg(F.count("*").alias("times")).where("times > 1")
-        runs = runs.unionByName(windows.join(again, "digest", "left_semi").select("key", "start", (F.col("start") + length).alias("end")))
-    whole = shared.where("equal").select("key", F.col("first").alias("start"), (F.col("first") + F.col("count") + (length - 1)).alias("end"))
+        repeated = write_scratch(windows.groupBy("digest").agg(F.count("*").alias("times")).where("times > 1").select("digest"), "repeated")
+        runs = runs.unionByName(windows.join(repeated, "digest", "left_semi").select("key", "start", (F.col("start") + length).alias("end")))
     covered = write_scratch(whole.unionByName(runs).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("covered")), "covered")
     return packed.join(covered, "key", "left").select("id", "packed", "covered").mapInArrow(_cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<long>>").withColumnRenamed("id", id_col)
