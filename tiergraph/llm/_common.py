@@ -26,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of so many texts at most, so that long ones don't fill a Python worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; the process removes its own at exit."""
     root = f"{shared_dir(spark)}/tiergraph-{uuid.uuid4().hex}"

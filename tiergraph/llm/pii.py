@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiergraph.llm._common import write_scratch
+from tiergraph.llm._common import bounded_batches, write_scratch
 
 #: Spans or terms are broadcast up to so many rows; beyond that they are shuffled.
 SMALL_ROWS = 50_000
@@ -130,7 +130,7 @@ def _if_small(small: DataFrame, rows: int) -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{2,}+"), F.lit(0)))
 
 
 def disclosing_terms(found: DataFrame, texts: DataFrame, *, generalise: float, support: int) -> DataFrame:
@@ -140,15 +140,21 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, *, generalise: float, s
     """
     beside = found.select("key", F.explode("beside").alias("b")).select("key", "b.*")
     joint = write_scratch(beside.groupBy("entity", "term").agg(F.countDistinct("mark").alias("marks"), F.countDistinct("key").alias("n_both")).where(F.col("marks") >= support), "joint")
-    terms = write_scratch(joint.select("term").distinct(), "terms")
+    total = found.count()
+    entities = beside.join(joint.select("entity").distinct(), "entity").groupBy("entity").agg(F.countDistinct("key").alias("n_entity")).where(F.col("n_entity") < total)
+
+    def disclosure(n_term: str) -> Column:
+        return 1 + F.log2(F.least(F.col("n_both") / F.col(n_term), F.lit(1.0))) / F.log2(F.lit(float(total)) / F.col("n_entity"))
+
+    #: A term is in no fewer documents than those in which it stands beside any entity: that alone rules out common words.
+    besides = beside.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
+    likely = write_scratch(joint.join(entities, "entity").join(besides, "term").where(disclosure("n_beside") >= generalise), "likely")
+    terms = write_scratch(likely.select("term").distinct(), "candidates")
     n_terms = terms.count()
     if not n_terms:
-        return joint.select("term", F.lit(0.0).alias("disclosure"))
-    entities = beside.join(joint.select("entity").distinct(), "entity").groupBy("entity").agg(F.countDistinct("key").alias("n_entity"))
-    holding = texts.select("key", F.explode(_terms(F.col("text"))).alias("term")).join(_if_small(terms, n_terms), "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    total = found.count()
-    share = F.log2(F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0))) / F.log2(F.lit(float(total)) / F.col("n_entity"))
-    scored = joint.join(entities, "entity").join(holding, "term").where(F.col("n_entity") < total).withColumn("disclosure", 1 + share)
+        return likely.select("term", F.lit(0.0).alias("disclosure"))
+    holding = texts.select(F.explode(_terms(F.col("text"))).alias("term")).join(_if_small(terms, n_terms), "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    scored = likely.join(holding, "term").withColumn("disclosure", disclosure("n_term"))
     return scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
@@ -157,6 +163,7 @@ def find_pii(docs: DataFrame, *, near: int = 5, generalise: float = 0.9, remove:
 
     ``key`` is a hash of id and text.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = write_scratch(texts.mapInArrow(_find(near), f"key long, id {kind}, spans {_SPANS_SQL}, beside array<struct<entity:string,term:string,mark:long>>"), "found")
