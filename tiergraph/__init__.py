@@ -1,0 +1 @@
+"""Trust-tiered, bitemporal graph analytics over community text, on Spark DataFrames."""
