@@ -27,7 +27,7 @@ def daily(rows: DataFrame, by: list[str], time: str, value: str, *, start: datet
     """(by, day, volume, mean) of the rows in [start, end]."""
     kept = rows if start is None else rows.where(F.col(time) >= F.lit(start))
     kept = kept if end is None else kept.where(F.col(time) <= F.lit(end))
-    return kept.groupBy(*by, F.date_format(time, "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("volume"), F.round(F.avg(value), 4).alias("mean"))
+    return kept.groupBy(*by, F.date_format(time, "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("volume"), F.round(F.avg(value), 8).alias("mean"))
 
 
 def mix(rows: DataFrame, by: list[str], part: str) -> DataFrame:

@@ -412,7 +412,7 @@ def q38(spark, d):
     return found.withColumn("evidence", F.array_join(F.transform("evidence", lambda x: x.cast("string")), ","))
 
 
-@query("q39_daily", "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS volume, round(avg(value), 4) AS mean FROM events GROUP BY ALL")
+@query("q39_daily", "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS volume, round(avg(value), 8) AS mean FROM events GROUP BY ALL")
 def q39(spark, d):
     return dashboards.daily(t(spark, d, "events"), ["event_type"], "ts", "value")
 
@@ -626,3 +626,102 @@ def q66(spark, d):
     return pull_available(spark, f"{d}/events.parquet", keys=["event_id"]).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+
+
+# Plans
+
+
+@query("q67_thread_graph", "WITH t AS (SELECT 'BELONGS_TO_THREAD' AS label, count(*) AS n FROM conversations UNION ALL SELECT 'REPLIED_TO', count(*) FROM (SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id) AS root FROM conversations) WHERE turn <> root UNION ALL SELECT 'POSTED_IN_FORUM', count(*) FROM conversations UNION ALL SELECT 'AUTHORED', count(*) FROM conversations UNION ALL SELECT 'REFERENCES_TOPIC', count(*) FROM conversations) SELECT * FROM t")
+def q67(spark, d):
+    from tiergraph.sources import community
+
+    turns = t(spark, d, "conversations")
+    threads = turns.select(F.col("conv_id").cast("string").alias("thread_id"), F.lit("t").alias("title"), F.lit("chat").alias("category"), F.lit("").alias("thread_url"), F.lit(0).cast("long").alias("reply_count"), F.lit(0).cast("long").alias("view_count")).distinct()
+    posts = turns.select(F.lpad(F.col("turn").cast("string"), 6, "0").alias("post_id"), F.col("conv_id").cast("string").alias("thread_id"), F.col("role").alias("author"), F.col("text").alias("content_text"), F.lit(None).cast("string").alias("timestamp_iso"), F.lit("1600000000").alias("created_utc"), F.lit(1).cast("long").alias("page_number"))
+    _, found = community.assemble_board(*community.normalise_threads(threads, posts), NOW)
+    return found.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("q68_fact_claims", "SELECT 'claim:part:' || p_partkey || ':' || k AS claim_id, v AS object_value FROM (SELECT p_partkey, 'p_brand' AS k, p_brand AS v FROM part UNION ALL SELECT p_partkey, 'p_size', p_size::VARCHAR FROM part) WHERE v IS NOT NULL")
+def q68(spark, d):
+    from tiergraph.sources.official import fact_claims
+
+    return fact_claims(t(spark, d, "part").withColumn("id", key("part", "p_partkey")), "id", ["p_brand", "p_size"], "2025-26").select("claim_id", "object_value")
+
+
+@query("q69_changed_versions", "WITH v AS (SELECT *, lag(event_type) OVER w AS was FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id, event_type, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS t_to FROM v WHERE was IS NULL OR was <> event_type")
+def q69(spark, d):
+    from tiergraph.sources.official import supersede_changed
+
+    return supersede_changed(t(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_type", "event_id")
+
+
+@query("q70_first_annotation", "SELECT user_id AS doc_id, arg_min(event_type, event_id) AS verdict FROM events GROUP BY 1")
+def q70(spark, d):
+    from tiergraph.plans.extraction import sentiment_of
+
+    return sentiment_of(t(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("annotation_id"), F.col("event_type").alias("verdict")))
+
+
+@query("q71_review_state", "WITH e AS (SELECT user_id AS item_id, min(ts) AS since FROM events WHERE event_type = 'signup' GROUP BY 1), x AS (SELECT user_id AS item_id, arg_min(event_type, ts) AS event FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1) SELECT item_id, CASE event WHEN 'purchase' THEN 'committed' WHEN 'error' THEN 'rejected' ELSE 'pending' END AS status FROM e LEFT JOIN x USING (item_id)")
+def q71(spark, d):
+    from tiergraph.plans.extraction import review_state
+
+    kind = F.when(F.col("event_type") == "signup", "enqueue").when(F.col("event_type") == "purchase", "commit").when(F.col("event_type") == "error", "reject")
+    log = t(spark, d, "events").select(F.col("user_id").alias("item_id"), F.lit("k").alias("kind"), F.col("ts").alias("at"), kind.alias("event"), F.lit("a").alias("actor"))
+    return review_state(log).select("item_id", "status")
+
+
+@query("q72_evaluate", "WITH p AS (SELECT doc_id FROM labels WHERE quality = 1), g AS (SELECT doc_id FROM labels WHERE toxic = 0), c AS (SELECT count(*) FILTER (p.doc_id IS NOT NULL AND g.doc_id IS NOT NULL) AS tp, count(*) FILTER (g.doc_id IS NULL) AS fp, count(*) FILTER (p.doc_id IS NULL) AS fn FROM p FULL JOIN g USING (doc_id)) SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM c")
+def q72(spark, d):
+    from tiergraph.plans.extraction import evaluate
+
+    labels = t(spark, d, "labels")
+    found = evaluate(labels.where("quality = 1"), labels.where("toxic = 0"), keys=["doc_id"])
+    return found.select("tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("q73_popular_versus_correct", "WITH c AS (SELECT source AS subject, lang AS stance, count(*) AS n FROM documents GROUP BY ALL), p AS (SELECT subject, max({'n': n, 's': stance}).s AS popular FROM c GROUP BY 1), o AS (SELECT subject, CASE WHEN right(subject, 1) IN ('1', '3') THEN 'en' WHEN right(subject, 1) = '5' THEN 'fr' END AS official FROM p) SELECT subject, popular, official, CASE WHEN official IS NULL THEN 'no_anchor' WHEN popular = official THEN 'popular_is_correct' ELSE 'popular_is_wrong' END AS verdict FROM p JOIN o USING (subject)")
+def q73(spark, d):
+    from tiergraph.plans.protocol import popular_versus_correct
+
+    docs = t(spark, d, "documents").select(F.col("source").alias("subject"), F.col("lang").alias("stance"))
+    value = F.when(F.right("subject", F.lit(1)).isin("1", "3"), "en").when(F.right("subject", F.lit(1)) == "5", "fr")
+    return popular_versus_correct(docs, docs.select("subject").distinct().withColumn("value", value).where("value is not null"))
+
+
+@query("q74_provenance", "WITH g AS (SELECT lang AS label, count(*) AS numerator FROM documents GROUP BY 1), r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents), s AS (SELECT lang, string_agg(doc_id, ',' ORDER BY doc_id) AS sample_ids FROM r WHERE place <= 10 GROUP BY 1) SELECT substr(sha1('langs|' || label), 1, 12) AS stat_id, label, numerator, CAST(sum(numerator) OVER () AS BIGINT) AS denominator, round(numerator / sum(numerator) OVER (), 4) AS value, sample_ids FROM g JOIN s ON s.lang = g.label")
+def q74(spark, d):
+    from tiergraph.plans.protocol import provenance
+
+    rows = provenance(t(spark, d, "documents").select("doc_id", F.col("lang").alias("bucket")), "langs")
+    return rows.withColumn("sample_ids", F.array_join(F.transform("sample_ids", lambda x: x.cast("string")), ","))
+
+
+@query("q75_protocol")
+def q75(spark, d):
+    from tiergraph.plans.protocol import analyse
+
+    turns = t(spark, d, "events")
+    items = turns.select(F.col("event_id").alias("doc_id"), F.col("event_type").alias("bucket"), F.col("user_id").alias("thread_id"), F.col("user_id").cast("string").alias("author"), (F.lit(2018) + F.col("event_id") % 5).cast("int").alias("year"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("cohort"), F.col("value").alias("score"))
+    return analyse(items, b=200)["buckets"]
+
+
+@query("q76_extraction_cache", "WITH k AS (SELECT doc_id, sha256('sentiment|v1|' || text) AS key FROM documents), c AS (SELECT DISTINCT key FROM k WHERE doc_id % 2 = 0) SELECT k.key IN (SELECT key FROM c) AS from_cache, count(*) AS n FROM k GROUP BY 1")
+def q76(spark, d):
+    from tiergraph.plans.extraction import cache_key, offline_sentiment, run_task
+
+    docs = t(spark, d, "documents")
+    cached = docs.where("doc_id % 2 = 0").select(cache_key("sentiment", "v1", "text").alias("key"), F.lit("{}").alias("output")).distinct()
+    results, _ = run_task(docs, cached, offline_sentiment, id_col="doc_id", text_col="text", task="sentiment", version="v1")
+    return results.groupBy("from_cache").agg(F.count("*").alias("n"))
+
+
+@query("q77_find_symbol", "SELECT p_partkey, CASE WHEN lower(p_name) = 'small bolt' THEN 1 WHEN starts_with(lower(p_name), 'small bolt') THEN 2 ELSE 3 END AS match_tier FROM part WHERE contains(lower(p_name), 'small bolt') ORDER BY match_tier, length(p_name), p_name, p_partkey LIMIT 1000000")
+def q77(spark, d):
+    return retrieval.find_symbol(t(spark, d, "part").select("p_partkey", "p_name"), "p_name", "small bolt", limit=1_000_000).select("p_partkey", "match_tier")
+
+
+@query("q78_topic_filter", r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9])(reed|blehe)($|[^a-z0-9])')")
+def q78(spark, d):
+    return retrieval.topic_filter(t(spark, d, "documents"), "text", ["reed", "Blehe"]).select("doc_id")
