@@ -83,4 +83,19 @@ def test_similar_sets_share_a_signature():
             a = np.unique(a)
             both = len(np.intersect1d(a, b))
             if both * den >= num * (len(a) + len(b) - both) and not np.array_equal(a, b):
-                assert len(np.intersect1d(J.signatures(a, num, den), J.signatures(b, num, den)))
+                mine, theirs = J.signatures(a, num, den), J.signatures(b, num, den)
+                shared = max(len(np.intersect1d(x, y)) - max(m, n) for x, m in mine for y, n in theirs)
+                assert shared >= 0
+
+
+def test_lone_members_are_left_out_in_passing():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        rows = sorted((int(a), int(b)) for a, b in rng.integers(0, 6, (int(rng.integers(0, 25)), 2)))
+        cuts = sorted(rng.integers(0, len(rows) + 1, 3).tolist())
+        batches = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        found = J._shared(iter([pa.RecordBatch.from_arrays([pa.array([r[0] for r in b], pa.int64()), pa.array([r[1] for r in b], pa.int64())], ["sig", "c"]) for b in batches]))
+        got = [tuple(r.values()) for b in found for r in b.to_pylist()]
+        assert got == [r for r in sorted(set(rows)) if len({c for s, c in rows if s == r[0]}) > 1]

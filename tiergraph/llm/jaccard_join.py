@@ -8,13 +8,14 @@ some of the n1 parts, and so agree on some choice of n2 - k2 of its smaller part
 Each such choice is a signature; sets that share none need no comparison.
 
 Equal sets are one class from the start, so copies cost nothing beyond their
-signatures and never make pairs. The classes that share a signature meet as sketches
-of at most 512 bytes, whose distance never exceeds that of the sets; pairs that these
-don't rule out tie classes together. What is tied together meets once more as whole
-sets, and each link is verified exactly. In both steps what leaves a task is a
-spanning forest, never all pairs. A signature with more members than a task should
-hold is dealt out as pairs of blocks of members, which together compare everything;
-so are the signatures of what is tied together but too large for one task.
+signatures and never make pairs. Similar sets share more than one signature, so a class
+that shares too few of its own, with whomever, is out. What the rest's signatures tie
+together is compared in one task where it is small, and each set travels once. Where it
+is large, members of one signature meet as sketches of at most 512 bytes first, whose
+distance never exceeds that of the sets, and what these don't rule out is tied together
+anew; a signature with more members than a task should hold is dealt out as pairs of
+blocks of members, which together compare everything. Each link is verified exactly on
+whole sets, and what leaves a task is a spanning forest of links, never all pairs.
 
 Defined results: a text with fewer words than a shingle is one shingle; a null,
 empty or blank text has no shingles and links with nothing; rows that share an id
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiergraph.llm._common import write_scratch
+from tiergraph.llm._common import bounded_batches, write_scratch
 from tiergraph.llm._components import connected_components
 from tiergraph.llm._shingles import WordHasher, mix64, shingle_set
 
@@ -50,9 +51,10 @@ def plan_signatures(k: int) -> tuple[int, int, int]:
     """(n1, n2, k2) for symmetric differences up to k; (k2 + 1) * n1 > k.
 
     Small sets, with few shingles a part, enumerate subsets so that a signature
-    still covers half of the set or more; larger ones take one part a signature.
+    still covers half of the set or more. Larger ones take one part a signature, and a
+    third more parts than k needs: similar sets then agree in at least a quarter of them.
     """
-    return (1, k + 3, k) if k <= 3 else (k + 1, 1, 0)
+    return (1, k + 3, k) if k <= 3 else ((4 * k + 6) // 3, 1, 0)
 
 
 def bands_of(n: int, num: int, den: int) -> list[tuple[int, int]]:
@@ -78,11 +80,14 @@ def _bands(n: int, num: int, den: int) -> tuple[tuple[int, int], ...]:
     return tuple(bands_of(n, num, den))
 
 
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The PartEnum signatures of a sorted set. Bands in which only equal sets are similar have none."""
-    found = []
+def signatures(s: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int]]:
+    """The PartEnum signatures of a sorted set in each of its bands, and how many of them a similar set shares at least.
+
+    Bands in which only equal sets are similar have none.
+    """
+    found, n = [], len(s)
     mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(s ^ _SEED), dtype=np.uint64)])
-    for band, k in _bands(len(s), num, den):
+    for band, k in _bands(n, num, den):
         if k == 0:
             continue
         n1, n2, k2 = plan_signatures(k)
@@ -90,40 +95,85 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
         at[0], at[-1] = mixed[0], mixed[-1]
         at[1:-1] = mixed[np.searchsorted(s, _edges(n1 * n2))]
         parts = (at[1:] - at[:-1]).reshape(n1, n2)
+        sigs = []
         for c, chosen in enumerate(combinations(range(n2), n2 - k2)):
             tag = np.arange(n1, dtype=np.uint64) + np.uint64((band << 40) + (c << 24))
-            found.append(mix64(mix64(parts[:, chosen].sum(axis=1, dtype=np.uint64) if n2 > 1 else parts[:, 0]) + mix64(tag + _SEED)))
-    return np.concatenate(found) if found else np.empty(0, np.uint64)
+            sigs.append(mix64(mix64(parts[:, chosen].sum(axis=1, dtype=np.uint64) if n2 > 1 else parts[:, 0]) + mix64(tag + _SEED)))
+        #: A set similar to this one has n * den / num elements at most, and each difference spoils one part.
+        differ = (den - num) * (n + n * den // num) // (den + num)
+        found.append((np.concatenate(sigs), max(1, n1 - differ) if n2 == 1 else 1))
+    return found
+
+
+def _class(s: np.ndarray) -> int:
+    """A set as 63 bits and a free last one."""
+    return int(mix64(s).sum(dtype=np.uint64)) & ~1
+
+
+def _longs(values) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
 def _sign(width: int, num: int, den: int):
-    """(doc_id, text) -> doc_id, size, the class in 128 bits, signatures."""
+    """(doc_id, text) -> doc_id, size, the class in 127 bits, how many signatures of its bands must be shared, sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            sets = [shingle_set(hasher.of(x.as_py() or ""), width) for x in batch.column("text")]
+            needs = [[n for _, n in signatures(s, num, den)] for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _longs([_class(s) for s in sets]), _longs([int(mix64(s ^ _SEED).sum(dtype=np.uint64)) for s in sets]), pa.array(needs, pa.list_(pa.int32())), pa.array([sketch(s).tobytes() for s in sets], pa.binary())],
+                ["doc_id", "n_shingles", "c1", "c2", "needs", "sketch"],
+            )
+
+    return run
+
+
+def _emit(width: int, num: int, den: int):
+    """text -> (sig, c): the signatures of each class, c telling its band by the last bit. A task signs a class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = WordHasher(), set()
         for batch in batches:
-            rows: list[tuple[int, int, int, np.ndarray, bytes | None]] = []
+            sigs, owners = [], []
             for x in batch.column("text"):
                 s = shingle_set(hasher.of(x.as_py() or ""), width)
-                one = int(mix64(s).sum(dtype=np.uint64))
-                two = int(mix64(s ^ _SEED).sum(dtype=np.uint64))
-                new = one not in seen  # a task signs a class once
-                if new:
-                    if len(seen) >= 1 << 20:
-                        seen.clear()
-                    seen.add(one)
-                rows.append((len(s), one, two, signatures(s, num, den) if new else np.empty(0, np.uint64), sketch(s).tobytes() if new else None))
-            flat = np.concatenate([r[3] for r in rows]) if rows else np.empty(0, np.uint64)
-            ends = np.cumsum([0] + [len(r[3]) for r in rows]).astype(np.int32)
-            longs = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), longs([r[1] for r in rows]), longs([r[2] for r in rows]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), pa.array([r[4] for r in rows], pa.binary())],
-                ["doc_id", "n_shingles", "c1", "c2", "sigs", "sketch"],
-            )
+                if (one := _class(s)) in seen:
+                    continue
+                if len(seen) >= 1 << 20:
+                    seen.clear()
+                seen.add(one)
+                for i, (found, _) in enumerate(signatures(s, num, den)):
+                    sigs.append(found)
+                    owners.append(np.full(len(found), one + i, np.uint64))
+            if sigs:
+                yield pa.RecordBatch.from_arrays([_longs(np.concatenate(sigs)), _longs(np.concatenate(owners))], ["sig", "c"])
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sig, c) in order -> those whose sig has two different c or more, each once. Remembers one row."""
+    last: tuple[int, int] | None = None
+    waiting: tuple[int, int] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        s, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("sig", "c"))
+        same = np.concatenate([[last is not None and s[0] == last[0]], s[1:] == s[:-1]])
+        copy = same & np.concatenate([[last is not None and c[0] == last[1]], c[1:] == c[:-1]])
+        last = int(s[-1]), int(c[-1])
+        s, c, first = s[~copy], c[~copy], ~same[~copy]
+        if not len(s):
+            continue
+        out = ~first
+        out[:-1] |= first[:-1] & ~first[1:]
+        more = [waiting] if waiting is not None and not first[0] else []
+        waiting = (int(s[-1]), int(c[-1])) if first[-1] else None
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array([m[0] for m in more], np.int64), s[out]])), pa.array(np.concatenate([np.array([m[1] for m in more], np.int64), c[out]]))], ["sig", "c"])
+
+
 def _sets(width: int):
     """(node, text) -> node, the sorted set as bytes."""
 
@@ -230,37 +280,53 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5
     empty sets). links: a, b, verified links between nodes that connect whatever is
     connected. Ids are long integers or can be cast to them.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = write_scratch(texts.mapInArrow(_sign(width, num, den), "doc_id long, n_shingles long, c1 long, c2 long, sigs array<long>, sketch binary"), "signed")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "c1", "c2").agg(F.min("doc_id").alias("node"))
+    signed = write_scratch(texts.mapInArrow(_sign(width, num, den), "doc_id long, n_shingles long, c1 long, c2 long, needs array<int>, sketch binary"), "signed")
+    classes = write_scratch(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "c1", "c2").agg(F.min("doc_id").alias("node")), "classes")
     members = write_scratch(signed.select("doc_id", "n_shingles", "c1", "c2").join(classes, ["n_shingles", "c1", "c2"], "left"), "members")
+    classes = classes.groupBy("c1").agg(F.min("node").alias("node"), F.min("n_shingles").alias("size"))
+
+    #: A member of a signature is a class in one of its bands. Members come in order, and those alone with theirs are left out in passing.
+    dealt = texts.where("doc_id is not null").select("text").mapInArrow(_emit(width, num, den), "sig long, c long").repartition("sig").sortWithinPartitions("sig", "c")
+    rows = write_scratch(dealt.mapInArrow(_shared, "sig long, c long"), "shared")
+    #: Classes that share fewer signatures, with whomever, than a similar set would are out.
+    known = signed.where("doc_id is not null")
+    needs = known.select("c1", F.posexplode("needs").alias("at", "need")).select((F.col("c1") + F.col("at")).alias("c"), "need").distinct()
+    enough = write_scratch(rows.groupBy("c").agg(F.count("*").alias("n")).join(needs, "c").where("n >= need").select("c"), "enough")
+    rows = rows.join(enough, "c", "left_semi")
+    marks = rows.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("c")).alias("mark")).where("low <> high")
+    marks = write_scratch(marks, "marks")
+    rows = write_scratch(rows.join(marks, "sig").join(classes.withColumnRenamed("c1", "__c1"), F.col("c").bitwiseAND(F.lit(-2)) == F.col("__c1")).select("sig", F.col("__c1").alias("c1"), "node", "size", "low", "high", "rows", "mark"), "rows")
+
+    #: What signatures tie together is one task's work where it is small, and each set travels once.
+    hubs = rows.join(classes.select((F.col("c1")).alias("__hub"), F.col("node").alias("least")), F.col("low").bitwiseAND(F.lit(-2)) == F.col("__hub"))
+    placed = _placed(connected_components(hubs.select("least", "node").distinct()), classes, most)
+    compared = placed.where("light").select(F.col("component").alias("group"), F.lit(-1).alias("part"), F.lit(0).alias("block"), "node", "size")
+    if not (heavy := placed.where("not light")).isEmpty():
+        #: Else each signature is a group of its members. Of groups with the same members one is enough, that of the least signature.
+        groups = rows.groupBy("low", "high", "rows", "mark").agg(F.min("sig").alias("sig")).select("sig")
+        kept = rows.join(heavy.select("node"), "node", "left_semi").join(groups, "sig", "left_semi").select("sig", "c1", "node", "size", "rows").distinct()
+        #: Large groups are dealt out as pairs of blocks: a member goes to the pair of its block and each block, its own included.
+        cut = kept.withColumn("n", F.ceil(F.col("rows") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+        dealt_out = cut.select("sig", "c1", "node", "size", "block", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+        parts = write_scratch(dealt_out.select(F.col("sig").alias("group"), (F.least("block", "other") * F.col("n") + F.greatest("block", "other")).alias("part"), "block", "c1", "node", "size"), "parts")
+        #: They meet as sketches first, and what these don't rule out is tied together anew.
+        sketches = known.groupBy("c1").agg(F.min("sketch").alias("of"))
+        again = _placed(connected_components(_compared(parts.join(sketches, "c1"), num, den, exact=False)), classes, most)
+        compared = compared.unionByName(again.where("light").select(F.col("component").alias("group"), F.lit(-2).alias("part"), F.lit(0).alias("block"), "node", "size"))
+        compared = compared.unionByName(parts.join(again.where("not light").select("node"), "node", "left_semi").select("group", "part", "block", "node", "size"))
+    compared = write_scratch(compared, "compared")
+    sets = texts.withColumnRenamed("doc_id", "node").join(compared.select("node").distinct(), "node", "left_semi").mapInArrow(_sets(width), "node long, of binary")
+    links = _compared(compared.join(sets, "node"), num, den, exact=True)
+    return members.select("doc_id", "n_shingles", "node"), write_scratch(links, "links")
+
 
-    #: One exchange serves the count of each signature and the way back to its members.
-    dealt = signed.where("doc_id is not null").select(F.explode("sigs").alias("sig"), "c1").repartition("sig")
-    shared = dealt.groupBy("sig").agg(F.min("c1").alias("low"), F.max("c1").alias("high"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("c1")).alias("mark"), F.sum(F.xxhash64("c1").bitwiseAND(F.lit(0xFFFFFFFF))).alias("sum")).where("low <> high")
-    rows = write_scratch(dealt.join(shared.hint("shuffle_hash"), "sig").select("sig", "c1", "low", "high", "rows", "mark", "sum"), "shared")
-    sketches = signed.where("sketch is not null and doc_id is not null").groupBy("c1").agg(F.min("sketch").alias("sketch"))
-    classes = members.where("node is not null").groupBy("c1").agg(F.min("node").alias("node"), F.min("n_shingles").alias("size"))
-
-    #: Each signature is a group of its members. Of groups with the same members one is enough, that of the least signature.
-    groups = rows.groupBy("low", "high", "rows", "mark", "sum").agg(F.min("sig").alias("sig")).select("sig")
-    kept = rows.select("sig", "c1", "rows").join(groups, "sig", "left_semi").distinct().join(classes, "c1")
-    #: Large groups are dealt out as pairs of blocks: a member goes to the pair of its block and each block, its own included.
-    cut = kept.withColumn("n", F.ceil(F.col("rows") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    dealt_out = cut.select("sig", "c1", "node", "size", "block", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    parts = write_scratch(dealt_out.select(F.col("sig").alias("group"), (F.least("block", "other") * F.col("n") + F.greatest("block", "other")).alias("part"), "block", "c1", "node", "size"), "parts")
-    candidates = _compared(parts.join(sketches.withColumnRenamed("sketch", "of"), "c1"), num, den, exact=False)
-
-    #: What candidates tie together is one task's work where it is small, and each set travels once.
-    tied = connected_components(candidates)
+def _placed(tied: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """(node, size, component, light): whether all that is tied to a node fits into one task."""
     weights = tied.join(classes.select("node", "size"), "node")
     light = weights.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where((F.col("n") <= most) & (F.col("all") <= TASK_SHINGLES)).select("component", F.lit(True).alias("light"))
-    placed = write_scratch(weights.join(light, "component", "left").select("node", "size", "component", F.coalesce("light", F.lit(False)).alias("light")), "placed")
-    lights = placed.where("light").select(F.col("component").alias("group"), F.lit(-1).alias("part"), F.lit(0).alias("block"), "node", "size")
-    heavy = parts.join(placed.where("not light").select("node"), "node").select("group", "part", "block", "node", "size")
-    sets = texts.withColumnRenamed("doc_id", "node").join(placed.select("node").hint("shuffle_hash"), "node", "left_semi").mapInArrow(_sets(width), "node long, of binary")
-    links = _compared(lights.unionByName(heavy).join(sets, "node"), num, den, exact=True)
-    return members.select("doc_id", "n_shingles", "node"), write_scratch(links, "links")
+    return write_scratch(weights.join(light, "component", "left").select("node", "size", "component", F.coalesce("light", F.lit(False)).alias("light")), "placed")
 
 
 def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, most: int = TASK_MEMBERS) -> DataFrame:
