@@ -62,15 +62,16 @@ def seed_lookup(nodes: DataFrame, query: str, *, tier_min: str | None = None, le
 def traverse(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, *, depth: int = 2, **filters) -> DataFrame:
     """(id, hop, last_from, last_label): nodes within ``depth`` outbound hops, at their first hop; the least last hop for ties.
 
-    Each hop is one join of the frontier to the filtered edges; nodes seen before are dropped.
+    Each hop is one join of the frontier to the filtered edges; nodes seen before are dropped. A hop's
+    frontier is checkpointed, as the hops after it and the result read it again.
     """
     kept = edges.where(edge_passes(**filters)).select("from_id", "to_id", F.col("label").alias("last_label"))
-    seen = seeds.select("id").distinct().select("id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("last_from"), F.lit(None).cast("string").alias("last_label"))
+    seen = checkpoint(seeds.select("id").distinct().select("id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("last_from"), F.lit(None).cast("string").alias("last_label")))
     frontier = seen
     for hop in range(1, depth + 1):
         step = frontier.select(F.col("id").alias("from_id")).join(kept, "from_id").groupBy(F.col("to_id").alias("id")).agg(F.min(F.struct("from_id", "last_label")).alias("m"))
         frontier = step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hop"), F.col("m.from_id").alias("last_from"), F.col("m.last_label").alias("last_label"))
-        frontier = frontier.join(nodes.select("id"), "id", "left_semi")
+        frontier = checkpoint(frontier.join(nodes.select("id"), "id", "left_semi"))
         seen = seen.unionByName(frontier)
     return seen
 

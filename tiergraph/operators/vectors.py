@@ -43,9 +43,10 @@ def classify_counted(vectors: DataFrame, vec_col: str, id_col: str, prototypes:
     """
     if (n := prototypes.count()) > most:
         raise ValueError(f"{n} prototypes; at most {most}")
-    scored = vectors.join(F.broadcast(prototypes.select(F.col(proto_col).alias("__p"), F.col(name_col).alias("__b"))))
-    best = scored.withColumn("__s", F.round(cosine(F.col(vec_col), F.col("__p")), 6)).groupBy(id_col).agg(F.max(F.struct("__s", "__b")).alias("__m"))
-    named = best.select(F.when(F.col("__m.__s") >= min_sim, F.col("__m.__b").cast("string")).otherwise("unclear").alias("bucket"))
+    packed = prototypes.agg(F.collect_list(F.struct(F.col(proto_col).alias("p"), F.col(name_col).alias("b"))).alias("__protos"))
+    scored = vectors.select(id_col, vec_col).join(F.broadcast(packed))  # one row, so that a vector stays one row
+    best = F.array_max(F.transform("__protos", lambda x: F.struct(F.round(cosine(F.col(vec_col), x["p"]), 6).alias("s"), x["b"].alias("b"))))
+    named = scored.select(best.alias("m")).select(F.when(F.col("m.s") >= min_sim, F.col("m.b").cast("string")).otherwise("unclear").alias("bucket"))
     return share(named, "bucket", digits=3)
 
 
