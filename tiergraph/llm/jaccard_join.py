@@ -300,8 +300,9 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5
     rows = write_scratch(rows.join(marks, "sig").join(classes.withColumnRenamed("c1", "__c1"), F.col("c").bitwiseAND(F.lit(-2)) == F.col("__c1")).select("sig", F.col("__c1").alias("c1"), "node", "size", "low", "high", "rows", "mark"), "rows")
 
     #: What signatures tie together is one task's work where it is small, and each set travels once.
-    hubs = rows.join(classes.select((F.col("c1")).alias("__hub"), F.col("node").alias("least")), F.col("low").bitwiseAND(F.lit(-2)) == F.col("__hub"))
-    placed = _placed(connected_components(hubs.select("least", "node").distinct()), classes, most)
+    ties = write_scratch(rows.select(F.col("low").bitwiseAND(F.lit(-2)).alias("__hub"), "node").distinct(), "ties")
+    hubs = ties.join(classes.select(F.col("c1").alias("__hub"), F.col("node").alias("least")), "__hub")
+    placed = _placed(connected_components(hubs.select("least", "node")), classes, most)
     compared = placed.where("light").select(F.col("component").alias("group"), F.lit(-1).alias("part"), F.lit(0).alias("block"), "node", "size")
     if not (heavy := placed.where("not light")).isEmpty():
         #: Else each signature is a group of its members. Of groups with the same members one is enough, that of the least signature.
