@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiergraph.llm._common import bounded_batches
 from tiergraph.llm._shingles import mix64
 
 BITS = 20
@@ -83,6 +84,7 @@ def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, **options) -> tuple[float, dict[int, float]]:
     """Fits on the labelled documents; at most ``max_train`` rows of features come to the driver."""
+    bounded_batches(docs.sparkSession)
     sample = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct().orderBy(F.xxhash64(F.col("id").cast("string")), "id", "label").limit(max_train)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # max_train rows of two numbers
     rows = texts.select("id", "text", "label").groupBy("id", "label").agg(F.min("text").alias("text")).select("text", "label").mapInArrow(_featurised, "places binary, label int").limit(max_train).collect()
@@ -110,5 +112,6 @@ def _scored(bias: float, weights: dict[int, float]):
 
 def score(docs: DataFrame, model: tuple[float, dict[int, float]], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, score."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_scored(*model), f"id {kind}, score double").withColumnRenamed("id", id_col)
