@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiergraph.llm._common import scratch_path
+from tiergraph.llm._common import bounded_batches, scratch_path, write_scratch
 
 CACHE_SCHEMA = "tokenizer string, digest string, n_bytes long, n_tokens long"
 #: Characters that are encoded in one call, to bound a worker's memory.
@@ -83,6 +83,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, cache_path: str | None
     be at ``tokenizer_path`` on every executor.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     version = tokenizer_version(tokenizer_path)
     path = cache_path or scratch_path(spark, "token_cache")
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(path)
@@ -99,4 +100,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, cache_path: str | None
     chosen = misses.groupBy("digest").agg(F.min("row").alias("row"))
     todo = misses.join(chosen.hint("shuffle_hash"), ["digest", "row"], "left_semi").select("digest", "text", F.octet_length("text").cast("long").alias("n_bytes"))
     todo.mapInArrow(_counts(tokenizer_path), "digest string, n_bytes long, n_tokens long").select(F.lit(version).alias("tokenizer"), "digest", "n_bytes", "n_tokens").write.mode("append").parquet(path)
-    return ids.join(cache(), "digest").select("doc_id", "digest", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    #: Written, so that the join may split a digest that copies make frequent.
+    return ids.join(write_scratch(cache(), "counts"), "digest").select("doc_id", "digest", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
