@@ -76,8 +76,14 @@ def _edges(parts: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=65536)
-def _bands(n: int, num: int, den: int) -> tuple[tuple[int, int], ...]:
-    return tuple(bands_of(n, num, den))
+def needed(n: int, num: int, den: int) -> tuple[tuple[int, int, int], ...]:
+    """(band, k, how many signatures a similar set shares at least) of each band of a set of n shingles that has signatures.
+
+    A similar set has n * den / num elements at most, and each difference spoils one part.
+    """
+    differ = (den - num) * (n + n * den // num) // (den + num)
+    plans = [(band, k, plan_signatures(k)) for band, k in bands_of(n, num, den) if k]
+    return tuple((band, k, max(1, n1 - differ) if n2 == 1 else 1) for band, k, (n1, n2, _) in plans)
 
 
 def signatures(s: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int]]:
@@ -85,11 +91,9 @@ def signatures(s: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int]
 
     Bands in which only equal sets are similar have none.
     """
-    found, n = [], len(s)
+    found = []
     mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(s ^ _SEED), dtype=np.uint64)])
-    for band, k in _bands(n, num, den):
-        if k == 0:
-            continue
+    for band, k, need in needed(len(s), num, den):
         n1, n2, k2 = plan_signatures(k)
         at = np.empty(n1 * n2 + 1, np.uint64)
         at[0], at[-1] = mixed[0], mixed[-1]
@@ -99,9 +103,7 @@ def signatures(s: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int]
         for c, chosen in enumerate(combinations(range(n2), n2 - k2)):
             tag = np.arange(n1, dtype=np.uint64) + np.uint64((band << 40) + (c << 24))
             sigs.append(mix64(mix64(parts[:, chosen].sum(axis=1, dtype=np.uint64) if n2 > 1 else parts[:, 0]) + mix64(tag + _SEED)))
-        #: A set similar to this one has n * den / num elements at most, and each difference spoils one part.
-        differ = (den - num) * (n + n * den // num) // (den + num)
-        found.append((np.concatenate(sigs), max(1, n1 - differ) if n2 == 1 else 1))
+        found.append((np.concatenate(sigs), need))
     return found
 
 
@@ -121,7 +123,7 @@ def _sign(width: int, num: int, den: int):
         hasher = WordHasher()
         for batch in batches:
             sets = [shingle_set(hasher.of(x.as_py() or ""), width) for x in batch.column("text")]
-            needs = [[n for _, n in signatures(s, num, den)] for s in sets]
+            needs = [[x[2] for x in needed(len(s), num, den)] for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _longs([_class(s) for s in sets]), _longs([int(mix64(s ^ _SEED).sum(dtype=np.uint64)) for s in sets]), pa.array(needs, pa.list_(pa.int32())), pa.array([sketch(s).tobytes() for s in sets], pa.binary())],
                 ["doc_id", "n_shingles", "c1", "c2", "needs", "sketch"],
