@@ -64,3 +64,16 @@ def test_digest_columns(spark):
     text = "a@b.cd 1.2.3.4"
     spans, _ = P.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     assert spans.select(F.sha2(P.spans_text(F.col("spans")), 256)).first()[0] == hashlib.sha256(b"email:0:6,ip:7:14").hexdigest()
+
+
+def test_a_term_beside_the_entity_of_one_document_discloses(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join(f"common{rng.randrange(60)}" for _ in range(n))
+    rows = [(i, say(20)) for i in range(1_500)]
+    rows += [(2_000, f"{say(6)} Zorblax Ky 9th {say(2)} boss@corp.example.com {say(8)} +44 20 7946 0958"), (2_001, f"{say(4)} zorblax {say(4)}"), (2_002, f"7 {say(3)} 12x9 x@y.zz 10.0.0.1 ky")]
+    spans, terms = P.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))
+    #: zorblax and ky are in two documents; what is within a span is no term.
+    assert {r.term: r.kind for r in terms.collect()} == {"9th": "term", "12x9": "term", "7": "term"}
+    text = dict(rows)
+    got = {r.id: [text[r.id][s.start : s.end] for s in r.terms] for r in spans.where("terms is not null").collect()}
+    assert got == {2_000: ["9th"], 2_002: ["7", "12x9"]}

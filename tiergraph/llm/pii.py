@@ -10,8 +10,12 @@ Terms beyond ``generalise`` are replaced by a class name, beyond ``remove`` remo
 
 Counts are of documents: p(e) of those that hold the entity, p(t) of those that hold
 the term anywhere, p(e, t) of those that hold it within ``near`` words of the entity.
-Evidence counts once per distinct surrounding, so that copies of one passage do not
-make its ordinary words suspicious: below ``support`` surroundings nothing is disclosed.
+p(e | t) = p(e, t) / p(t) is smoothed by ``prior`` documents in which the entity is as
+rare as anywhere: with n = n(e, t) and n' = n(t), it is (n + prior p(e)) / (n' + prior).
+Evidence counts once per distinct surrounding, so that copies of one passage do not make
+its ordinary words suspicious: n and n' shrink alike until n is the number of these. So
+one surrounding discloses less than many do, but is never left out; with the defaults a
+term that stands by a single document's entity alone counts from 1,024 documents on.
 
 Defined results: a null or empty text has no spans; repeated rows are scored alike and
 count as documents each; an empty table gives an empty result; other columns are passed
@@ -82,16 +86,25 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else re.sub(r'[^0-9]', '', value)}"
 
 
+def _blank(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with spaces for its spans: what is in one is replaced anyway, so its words are no terms."""
+    out, at = [], 0
+    for start, end in sorted((a, b) for _, a, b in spans):
+        out += [text[at:start], " " * (end - max(start, at))]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
 def surroundings(text: str, spans: list[tuple[str, int, int]], near: int) -> list[tuple[str, str, int]]:
     """(entity, term, surrounding) for the terms within ``near`` words of each span."""
-    out = []
+    out, rest = [], _blank(text, spans)
     for kind, start, end in spans:
         reach = 40 * near  # characters; longer words are no terms
-        before = [m.group().lower() for m in _TERM.finditer(text[max(0, start - reach) : start])][-near:]
-        after = [m.group().lower() for m in _TERM.finditer(text[end : end + reach])][:near]
+        before = [m.group().lower() for m in _TERM.finditer(rest[max(0, start - reach) : start])][-near:]
+        after = [m.group().lower() for m in _TERM.finditer(rest[end : end + reach])][:near]
         mark = int.from_bytes(hashlib.blake2b(" ".join([*before, "|", *after]).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
         entity = _entity(kind, text[start:end])
-        out += [(entity, t, mark) for t in dict.fromkeys(before + after) if len(t) >= 3 and not t[0].isdigit()]
+        out += [(entity, t, mark) for t in dict.fromkeys(before + after)]
     return out
 
 
@@ -130,21 +143,23 @@ def _if_small(small: DataFrame, rows: int) -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{2,}+"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]++"), F.lit(0)))
 
 
-def disclosing_terms(found: DataFrame, texts: DataFrame, *, generalise: float, support: int) -> DataFrame:
+def disclosing_terms(found: DataFrame, texts: DataFrame, *, generalise: float, prior: float) -> DataFrame:
     """(term, disclosure) of the terms that disclose an entity by ``generalise`` or more.
 
     found: key, beside. texts: key, text.
     """
     beside = found.select("key", F.explode("beside").alias("b")).select("key", "b.*")
-    joint = write_scratch(beside.groupBy("entity", "term").agg(F.countDistinct("mark").alias("marks"), F.countDistinct("key").alias("n_both")).where(F.col("marks") >= support), "joint")
+    joint = write_scratch(beside.groupBy("entity", "term").agg(F.countDistinct("mark").alias("marks"), F.countDistinct("key").alias("n_both")), "joint")
     total = found.count()
-    entities = beside.join(joint.select("entity").distinct(), "entity").groupBy("entity").agg(F.countDistinct("key").alias("n_entity")).where(F.col("n_entity") < total)
+    entities = beside.groupBy("entity").agg(F.countDistinct("key").alias("n_entity")).where(F.col("n_entity") < total)
 
     def disclosure(n_term: str) -> Column:
-        return 1 + F.log2(F.least(F.col("n_both") / F.col(n_term), F.lit(1.0))) / F.log2(F.lit(float(total)) / F.col("n_entity"))
+        seen, rare = F.least("marks", "n_both"), F.col("n_entity") / F.lit(float(total))
+        among = F.greatest(seen * F.col(n_term) / F.col("n_both"), seen)
+        return 1 - F.log2((seen + F.lit(prior) * rare) / (among + F.lit(prior))) / F.log2(rare)
 
     #: A term is in no fewer documents than those in which it stands beside any entity: that alone rules out common words.
     besides = beside.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
@@ -153,12 +168,13 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, *, generalise: float, s
     n_terms = terms.count()
     if not n_terms:
         return likely.select("term", F.lit(0.0).alias("disclosure"))
-    holding = texts.select(F.explode(_terms(F.col("text"))).alias("term")).join(_if_small(terms, n_terms), "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    every = texts.select(F.explode(_terms(F.col("text"))).alias("term"))
+    holding = every.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n_term")) if n_terms <= SMALL_ROWS else every.groupBy("term").agg(F.count("*").alias("n_term"))
     scored = likely.join(holding, "term").withColumn("disclosure", disclosure("n_term"))
     return scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
-def find_pii(docs: DataFrame, *, near: int = 5, generalise: float = 0.9, remove: float = 0.97, support: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def find_pii(docs: DataFrame, *, near: int = 5, generalise: float = 0.9, remove: float = 0.97, prior: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(spans, terms). spans: key, id, spans (of patterns), terms (of disclosing terms; null for none). terms: term, disclosure, kind (term, or removed-term from ``remove`` on).
 
     ``key`` is a hash of id and text.
@@ -167,7 +183,7 @@ def find_pii(docs: DataFrame, *, near: int = 5, generalise: float = 0.9, remove:
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = write_scratch(texts.mapInArrow(_find(near), f"key long, id {kind}, spans {_SPANS_SQL}, beside array<struct<entity:string,term:string,mark:long>>"), "found")
-    terms = write_scratch(disclosing_terms(found, texts.select("key", "text"), generalise=generalise, support=support).withColumn("kind", F.when(F.col("disclosure") >= remove, "removed-term").otherwise("term")), "terms")
+    terms = write_scratch(disclosing_terms(found, texts.select("key", "text"), generalise=generalise, prior=prior).withColumn("kind", F.when(F.col("disclosure") >= remove, "removed-term").otherwise("term")), "terms")
     n_terms = terms.count()
     if not n_terms:
         return found.select("key", "id", "spans", F.lit(None).cast(_SPANS_SQL).alias("terms")), terms
