@@ -221,3 +221,21 @@ def test_stream_reads_new_files_alone(spark, tmp_path):
     assert first.count() == 2
     spark.createDataFrame([(2, "b"), (3, "c")], "id int, v string").write.mode("append").parquet(str(tmp_path / "in"))
     assert pull_available(spark, str(tmp_path / "in"), keys=["id"], target=str(tmp_path / "out")).count() == 3
+
+
+def test_frequent_tokens_are_compared_exactly(spark, monkeypatch):
+    rows = [(f"e{i}", f"medical university x{i}") for i in range(1_500)] + [(f"i{i}", f"iowa y{i}") for i in range(3)] + [("m", "medical university")]
+    aliases = spark.createDataFrame(rows, "entity_id string, alias string")
+    mentions = spark.createDataFrame([(1, "iowa medical university"), (2, "Medical University X77"), (2, "medical university x77"), (3, None), (4, "none")], "mention_id long, mention string")
+    got = {r.mention_id: (r.entity_id, r.score) for r in resolution.match_aliases(mentions, aliases).collect()}
+    assert got == {1: ("m", 100.0), 2: ("m", 100.0)}
+    monkeypatch.setattr(resolution, "BLOCK", 7)
+    sides = [[f"{w} {'abc'[i % 3]} t{i}" for i in range(40)] for w in ("all", "all every")]
+    frames = [spark.createDataFrame([(x,) for x in xs], f"{c} string") for c, xs in zip("lr", sides, strict=True)]
+    assert sorted(tuple(r) for r in resolution.sharing_pairs(*frames, "l", "r").collect()) == sorted((a, b) for a in sides[0] for b in sides[1])
+    new = [(f"s{i}", "org", f"Supplier {i}") for i in range(30)]
+    every = [(f"c{i}", "org", f"Supplier {i}") for i in range(1_100)] + [("s3", "org", "Supplier 3"), ("z", "person", "Supplier 4")]
+    schema = "id string, kind string, name string"
+    links = {(r.low_id, r.high_id): r.score for r in resolution.link_entities(spark.createDataFrame(new, schema), spark.createDataFrame(every, schema)).collect()}
+    assert all(links[f"c{i}", f"s{i}"] == 1.0 for i in range(30)) and len(links) == 300
+    assert ("s3", "s3") not in links and ("s4", "z") not in links
