@@ -394,7 +394,7 @@ def q35b(spark, d):
 @query("q36_bootstrap")
 def q36(spark, d):
     items = t(spark, d, "events").select("event_type", "user_id", (F.col("value") > 50).alias("hit"))
-    return stats.cluster_bootstrap(items, ["event_type"], "user_id", "hit", b=500)
+    return stats.cluster_bootstrap(items, ["event_type"], "user_id", "hit")
 
 
 @query("q37_minmax", "SELECT p_partkey, round((p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()), 4) AS p_retailprice_norm, round((p_size - min(p_size) OVER ()) / (max(p_size) OVER () - min(p_size) OVER ())::DOUBLE, 4) AS p_size_norm FROM part")
@@ -548,7 +548,7 @@ def q56(spark, d):
 
 @query("q57_guard_narration")
 def q57(spark, d):
-    said = F.concat(F.lit("Of all "), F.col("n_chars").cast("string"), F.lit(" hold. In 2024 nothing else. About 37% agree. "), F.substring("text", 1, 80))
+    said = F.concat(F.lit("Of all "), F.col("n_chars").cast("string"), F.lit(" hold. In 2024 nothing else. About 37% agree. "), "text")
     kept, dropped = text.guard_narration(said, F.array(F.col("n_chars").cast("double")))
     return t(spark, d, "documents").select("doc_id", kept.alias("kept"), F.size(dropped).alias("n_dropped"))
 
@@ -561,7 +561,7 @@ def q58(spark, d):
     from tiergraph.operators.resolution import match_aliases
 
     part = t(spark, d, "part")
-    mentions = part.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("mention_id"), F.concat(F.lower("p_name"), F.lit(" the")).alias("mention"))
+    mentions = part.select(F.col("p_partkey").alias("mention_id"), F.concat(F.lower("p_name"), F.lit(" the")).alias("mention"))
     aliases = part.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("alias"))
     return match_aliases(mentions, aliases, threshold=85.0)
 
@@ -581,7 +581,7 @@ def q60(spark, d):
     from tiergraph.operators.resolution import link_entities
 
     a = t(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.lit("org").alias("kind"), F.col("s_name").alias("name"))
-    b = t(spark, d, "customer").where("c_custkey <= 200").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.lit("org").alias("kind"), F.regexp_replace("c_name", "Customer", "Supplier").alias("name"))
+    b = t(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.lit("org").alias("kind"), F.regexp_replace("c_name", "Customer", "Supplier").alias("name"))
     return link_entities(a, b)
 
 
@@ -704,7 +704,7 @@ def q75(spark, d):
 
     turns = t(spark, d, "events")
     items = turns.select(F.col("event_id").alias("doc_id"), F.col("event_type").alias("bucket"), F.col("user_id").alias("thread_id"), F.col("user_id").cast("string").alias("author"), (F.lit(2018) + F.col("event_id") % 5).cast("int").alias("year"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("cohort"), F.col("value").alias("score"))
-    return analyse(items, b=200)["buckets"]
+    return analyse(items)["buckets"]
 
 
 @query("q76_extraction_cache", "WITH k AS (SELECT doc_id, sha256('sentiment|v1|' || text) AS key FROM documents), c AS (SELECT DISTINCT key FROM k WHERE doc_id % 2 = 0) SELECT k.key IN (SELECT key FROM c) AS from_cache, count(*) AS n FROM k GROUP BY 1")
