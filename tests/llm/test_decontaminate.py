@@ -86,3 +86,13 @@ def test_inconsistent_values_are_another_text(spark):
     same = item.replace("Ann", "Bob").replace("4", "9")
     got = [r.doc_id for r in D.find_leaks(spark.createDataFrame([(1, other), (2, same)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()]
     assert got == [2]
+
+
+def test_names_where_sentences_start(spark):
+    item = "Alice has 3 apples. Bob has 5 pears. How many fruits do they have?"
+    docs = [(1, "Carol has 7 apples. Dan has 9 pears. How many fruits do they have?"), (2, "so  Carol has 7 apples.\n\"Dan has 9 pears. How many fruits do they have?"), (3, item), (4, "Cats are fine. Dogs have 9 lives. How many fruits are there?")]
+    got = {r.doc_id: (r.n_windows, r.n_found, r.n_conflicts, r.verbatim) for r in D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: (10, 10, 0, False), 2: (10, 10, 0, False), 3: (10, 10, 0, True)}
+    again = "Ann has 3 hats. Ann has 3 hats. Ann has 3 hats. Ann has 3 hats."
+    mixed = "Bob has 1 hats. Cid has 2 hats. Dan has 4 hats. Eve has 5 hats."
+    assert D.find_leaks(spark.createDataFrame([(1, mixed)], "doc_id long, text string"), spark.createDataFrame([(1, again)], "item_id long, text string")).count() == 0

@@ -10,7 +10,8 @@ item stand for equal values in the document. Everything is DataFrame functions.
 Templates: text in lower case, cut into runs of letters and digits, so that
 punctuation and decoration do not count. A capitalised word inside a sentence is a
 name, a run of digits (with inner separators) a number, and a unit that follows a
-number is a unit.
+number is a unit. In a second template capitalised words are names wherever they stand,
+also where a sentence may start; it decides where the first holds too few windows.
 
 Defined results: null and empty texts and items have no windows and never match; an
 item shorter than a window is one window; a document that repeats is reported for
@@ -34,15 +35,27 @@ SMALL_ROWS = 200_000
 UNITS = ("mm", "cm", "dm", "m", "km", "in", "inch", "inches", "ft", "feet", "foot", "yd", "yard", "yards", "mi", "mile", "miles", "mg", "g", "kg", "gram", "grams", "lb", "lbs", "pound", "pounds", "oz", "ounce", "ounces", "t", "ton", "tons", "ml", "cl", "l", "litre", "litres", "liter", "liters", "gallon", "gallons", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hr", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "mph", "kmh", "percent", "dollar", "dollars", "euro", "euros", "cent", "cents")
 #: Placeholders are private-use characters before the value that they stand for.
 NAME, NUMBER, UNIT = "", "", ""
+#: Before a capitalised word where a sentence may start: a name in the second template, a word in the first.
+INITIAL = ""
 
 
-def template_words(text: Column) -> Column:
-    """The words of a text's template; a placeholder's word is its sign with the value after it."""
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}{NUMBER}{UNIT}]", " ")
+def _marked_words(text: Column) -> Column:
+    """The words of both templates of a text: those with INITIAL differ."""
+    clean = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}{NUMBER}{UNIT}{INITIAL}]", " ")
     named = F.regexp_replace(clean, r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)", NAME + "$1")
-    numbered = F.regexp_replace(F.lower(named), r"(?<![\p{L}\p{N}])(\p{N}++(?:[.,:/]\p{N}++)*+)", NUMBER + "$1 ")
-    united = F.regexp_replace(numbered, rf"({NUMBER}[\p{{N}}.,:/]++ {{1,2}})({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")
-    return F.regexp_extract_all(united, F.lit(rf"{NUMBER}\p{{N}}++(?:[.,:/]\p{{N}}++)*+|[{NAME}{UNIT}]?[\p{{L}}\p{{N}}]++"), F.lit(0))
+    marked = F.regexp_replace(named, rf"(?<![\p{{L}}\p{{N}}{NAME}])(\p{{Lu}}\p{{Ll}}+)", INITIAL + "$1")
+    numbered = F.regexp_replace(F.lower(marked), r"(?<![\p{L}\p{N}])(\p{N}++(?:[.,:/]\p{N}++)*+)", NUMBER + "$1 ")
+    united = F.regexp_replace(numbered, rf"({NUMBER}[\p{{N}}.,:/]++ {{1,2}}){INITIAL}?({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")
+    return F.regexp_extract_all(united, F.lit(rf"{NUMBER}\p{{N}}++(?:[.,:/]\p{{N}}++)*+|[{NAME}{UNIT}{INITIAL}]?[\p{{L}}\p{{N}}]++"), F.lit(0))
+
+
+def _template(marked: Column, initials: bool) -> Column:
+    return F.transform(marked, lambda w: F.when(w.substr(1, 1) == INITIAL, F.concat(F.lit(NAME if initials else ""), w.substr(F.lit(2), F.length(w)))).otherwise(w))
+
+
+def template_words(text: Column, initials: bool = False) -> Column:
+    """The words of a text's template; a placeholder's word is its sign with the value after it. With ``initials``, capitalised words are names wherever they stand."""
+    return _template(_marked_words(text), initials)
 
 
 def _is_slot(word: Column) -> Column:
@@ -66,6 +79,14 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
     return hashed.select(*[c for c in rows.columns if c != "words"], F.posexplode(window_hashes(F.col("__h"), window)).alias("at", "h"))
 
 
+def _met(rows: DataFrame, window: int) -> DataFrame:
+    """(key, marked) -> (key, templates, h), a row for each distinct window; templates is 1, 2, or 3 for a window of both."""
+    hashed = rows.select("key", *[word_hashes(_template(F.col("marked"), initials)).alias(name) for initials, name in ((False, "one"), (True, "two"))])
+    windowed = hashed.select("key", *[window_hashes(F.col(name), window).alias(name) for name in ("one", "two")])
+    sets = windowed.select("key", F.explode(F.array(*[F.struct(F.lit(n).alias("templates"), hs.alias("hs")) for n, hs in ((1, F.array_except("one", "two")), (2, F.array_except("two", "one")), (3, F.array_intersect("one", "two")))])).alias("s"))
+    return sets.select("key", "s.templates", F.explode("s.hs").alias("h"))
+
+
 def _if_small(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small) if rows <= SMALL_ROWS else small
 
@@ -77,22 +98,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, s
     fifth of its placeholders' values are inconsistent. verbatim says whether all
     values are the item's own.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), template_words(F.col(item_text_col)).alias("words"))
+    both = F.explode(F.array(*[F.struct(F.lit(n).alias("template"), _template(F.col("marked"), n == 2).alias("words")) for n in (1, 2)])).alias("t")
+    items = benchmark.select(F.col(item_col).alias("item_id"), _marked_words(F.col(item_text_col)).alias("marked")).select("item_id", both).select("item_id", "t.*")
     windows = write_scratch(_windows(items, window), "item_windows")
-    totals = windows.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
+    totals = windows.groupBy("item_id", "template").agg(F.countDistinct("h").alias("n_windows"))
     n_windows = windows.count()
 
     texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    met = _windows(texts.select("key", template_words(F.col("text")).alias("words")), window).drop("at")
-    hits = met.join(_if_small(windows.select("item_id", "h").distinct(), n_windows), "h").groupBy("key", "item_id", "h").count().groupBy("key", "item_id").agg(F.count("*").alias("n_found"))
-    holds = write_scratch(hits.join(totals, "item_id").where(F.col("n_found") >= F.lit(share) * F.col("n_windows")), "holds")
+    met = _met(texts.select("key", _marked_words(F.col("text")).alias("marked")), window)
+    hits = met.join(_if_small(windows.select("item_id", "template", "h").distinct(), n_windows), "h").where(F.col("templates").bitwiseAND(F.col("template")) > 0)
+    found = hits.groupBy("key", "item_id", "template", "h").count().groupBy("key", "item_id", "template").agg(F.count("*").alias("n_found"))
+    enough = found.join(totals, ["item_id", "template"]).where(F.col("n_found") >= F.lit(share) * F.col("n_windows"))
+    #: Of both templates the first that holds enough.
+    holds = write_scratch(enough.groupBy("key", "item_id").agg(F.min(F.struct("template", "n_windows", "n_found")).alias("b")).select("key", "item_id", "b.*"), "holds")
 
     #: The values behind the placeholders, for documents that hold an item alone.
     n_holds = holds.count()
     held = texts.join(_if_small(holds.select("key").distinct(), n_holds), "key", "left_semi")
-    doc_slots = _slots(held.select("key", template_words(F.col("text")).alias("words")), window)
+    doc_slots = _slots(held.select("key", _marked_words(F.col("text")).alias("marked")).select("key", both).select("key", "t.*"), window)
     item_slots = _slots(items, window).withColumnsRenamed({"at": "item_at", "value": "item_value"})
-    pairs = doc_slots.join(_if_small(holds.select("key", "item_id"), n_holds), "key").join(_if_small(item_slots, n_windows), ["item_id", "h", "slot"])
+    pairs = doc_slots.join(_if_small(holds.select("key", "item_id", "template"), n_holds), ["key", "template"]).join(_if_small(item_slots, n_windows), ["item_id", "template", "h", "slot"])
     #: One alignment at a time: windows at one distance between document and item.
     values = pairs.groupBy("key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_value").agg(F.countDistinct("value").alias("n_values"), F.min(F.col("value") == F.col("item_value")).alias("own"))
     slots = values.groupBy("key", "item_id", "shift").agg(F.count("*").alias("n_slots"), F.sum(F.when(F.col("n_values") > 1, 1).otherwise(0)).alias("n_conflicts"), F.min("own").alias("own"))
