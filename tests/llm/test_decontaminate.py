@@ -96,3 +96,10 @@ def test_names_where_sentences_start(spark):
     again = "Ann has 3 hats. Ann has 3 hats. Ann has 3 hats. Ann has 3 hats."
     mixed = "Bob has 1 hats. Cid has 2 hats. Dan has 4 hats. Eve has 5 hats."
     assert D.find_leaks(spark.createDataFrame([(1, mixed)], "doc_id long, text string"), spark.createDataFrame([(1, again)], "item_id long, text string")).count() == 0
+
+
+def test_short_items_inside_longer_documents(spark):
+    items = [(1, "Define photosynthesis briefly."), (2, "What is 17+25?"), (3, "one")]
+    docs = [(1, "Here it comes: Define photosynthesis briefly. And so on it goes."), (2, "So I ask you now. What is 17+25? Nobody knows this."), (3, "what is"), (4, "Define photosynthesis at length, and briefly.")]
+    got = sorted((r.doc_id, r.item_id, r.verbatim) for r in D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), short_items=True).collect())
+    assert got == [(1, 1, True), (2, 2, True)]

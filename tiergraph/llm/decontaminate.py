@@ -14,13 +14,15 @@ number is a unit. In a second template capitalised words are names wherever they
 also where a sentence may start; it decides where the first holds too few windows.
 
 Defined results: null and empty texts and items have no windows and never match; an
-item shorter than a window is one window; a document that repeats is reported for
+item shorter than a window is one window, which longer documents hold with ``short_items`` alone; a document that repeats is reported for
 each row; a null id is reported as null; empty tables give an empty result; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,10 +81,10 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
     return hashed.select(*[c for c in rows.columns if c != "words"], F.posexplode(window_hashes(F.col("__h"), window)).alias("at", "h"))
 
 
-def _met(rows: DataFrame, window: int) -> DataFrame:
-    """(key, marked) -> (key, templates, h), a row for each distinct window; templates is 1, 2, or 3 for a window of both."""
+def _met(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """(key, marked) -> (key, templates, h), a row for each distinct window of any of the lengths; templates is 1, 2, or 3 for a window of both."""
     hashed = rows.select("key", *[word_hashes(_template(F.col("marked"), initials)).alias(name) for initials, name in ((False, "one"), (True, "two"))])
-    windowed = hashed.select("key", *[window_hashes(F.col(name), window).alias(name) for name in ("one", "two")])
+    windowed = hashed.select("key", *[F.concat(*[window_hashes(F.col(name), k) for k in lengths]).alias(name) for name in ("one", "two")])
     sets = windowed.select("key", F.explode(F.array(*[F.struct(F.lit(n).alias("templates"), hs.alias("hs")) for n, hs in ((1, F.array_except("one", "two")), (2, F.array_except("two", "one")), (3, F.array_intersect("one", "two")))])).alias("s"))
     return sets.select("key", "s.templates", F.explode("s.hs").alias("h"))
 
@@ -91,12 +93,13 @@ def _if_small(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small) if rows <= SMALL_ROWS else small
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short_items: bool = False) -> DataFrame:
     """Leaks, a row for each document and item: id, item_id, n_windows (the item's), n_found, containment, n_slots, n_conflicts, verbatim.
 
     A leak holds at least ``share`` of the item's distinct windows, and at most a
     fifth of its placeholders' values are inconsistent. verbatim says whether all
-    values are the item's own.
+    values are the item's own. With ``short_items``, an item shorter than a window is
+    also looked for inside longer documents, by windows of its own length.
     """
     both = F.explode(F.array(*[F.struct(F.lit(n).alias("template"), _template(F.col("marked"), n == 2).alias("words")) for n in (1, 2)])).alias("t")
     items = benchmark.select(F.col(item_col).alias("item_id"), _marked_words(F.col(item_text_col)).alias("marked")).select("item_id", both).select("item_id", "t.*")
@@ -105,7 +108,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, s
     n_windows = windows.count()
 
     texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    met = _met(texts.select("key", _marked_words(F.col("text")).alias("marked")), window)
+    size = F.size("words").alias("k")
+    lengths = [window, *[r.k for r in items.select(size).where(F.col("k").between(1, window - 1)).distinct().collect()]] if short_items else [window]
+    met = _met(texts.select("key", _marked_words(F.col("text")).alias("marked")), lengths)
     hits = met.join(_if_small(windows.select("item_id", "template", "h").distinct(), n_windows), "h").where(F.col("templates").bitwiseAND(F.col("template")) > 0)
     found = hits.groupBy("key", "item_id", "template", "h").count().groupBy("key", "item_id", "template").agg(F.count("*").alias("n_found"))
     enough = found.join(totals, ["item_id", "template"]).where(F.col("n_found") >= F.lit(share) * F.col("n_windows"))
@@ -115,7 +120,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, s
     #: The values behind the placeholders, for documents that hold an item alone.
     n_holds = holds.count()
     held = texts.join(_if_small(holds.select("key").distinct(), n_holds), "key", "left_semi")
-    doc_slots = _slots(held.select("key", _marked_words(F.col("text")).alias("marked")).select("key", both).select("key", "t.*"), window)
+    held_words = held.select("key", _marked_words(F.col("text")).alias("marked")).select("key", both).select("key", "t.*")
+    doc_slots = reduce(DataFrame.unionByName, [_slots(held_words, k) for k in lengths])
     item_slots = _slots(items, window).withColumnsRenamed({"at": "item_at", "value": "item_value"})
     pairs = doc_slots.join(_if_small(holds.select("key", "item_id", "template"), n_holds), ["key", "template"]).join(_if_small(item_slots, n_windows), ["item_id", "template", "h", "slot"])
     #: One alignment at a time: windows at one distance between document and item.

@@ -132,7 +132,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaks alone: a document that leaks nothing has no row."""
-    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_items=True)
     return leaks.select("doc_id", "item_id", "n_windows", "n_found", F.round("containment", 6).alias("containment"), "n_slots", "n_conflicts", "verbatim")
 
 
