@@ -73,3 +73,9 @@ def test_search_ranks_then_limits_and_tolerates_corrupt_properties(spark, nodes)
     got = graph.query_graph(edges, nodes, "x", depth=1, limit=2, now=DAY(1)).collect()
     assert [r.id for r in got] == ["a", "b"] and got[0].score == 0.5
     assert graph.crosslinks(spark.createDataFrame([edge("s", "a", "b", label="SAME_AS")], EDGE_SCHEMA), nodes, limit=1).count() == 2
+
+
+def test_components_of_a_long_chain(spark):
+    n = 20_000
+    links = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert [tuple(r) for r in graph.components(links).groupBy("component").count().collect()] == [(0, n + 1)]

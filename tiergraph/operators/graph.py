@@ -125,19 +125,18 @@ def same_as_closure(edges: DataFrame, ids: DataFrame, *, max_iter: int = 4) -> D
     return found
 
 
-def components(edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """(id, component) for links (a, b), by least labels; each round also jumps to the label's label.
-
-    A fixed number of rounds is one plan; 12 settle chains of some thousand links.
-    """
-    both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct()
-    labels = both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("component"))
-    for k in range(rounds):
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) for links (a, b), by least labels; each round also jumps to the label's label, until no label changes."""
+    both = checkpoint(edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct())
+    labels = checkpoint(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("component")))
+    changed = True
+    while changed:
         spread = both.join(labels.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("near"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        labels = labels.join(spread, "id").join(jump, "component", "left").select("id", F.least("component", "near", "far").alias("component"))
-        if k % 3 == 2:
-            labels = checkpoint(labels)
+        after = labels.join(spread, "id").join(jump, "component", "left").select("id", F.least("component", "near", "far").alias("component"), (F.least("near", "far") < F.col("component")).alias("changed"))
+        after = checkpoint(after)
+        changed = not after.where("changed").isEmpty()
+        labels = after.select("id", "component")
     return labels
 
 
