@@ -61,3 +61,11 @@ def test_nulls_empties_repeats_and_clashing_names(spark):
     none = spark.createDataFrame([], ENTRIES)
     assert {r.verdict for r in U.judge_captures(captures, none).collect()} == {"none"}
     assert U.judge_captures(captures.limit(0), spark.createDataFrame(entries, ENTRIES)).count() == 0
+
+
+def test_deep_paths_and_their_case(spark):
+    day = datetime(2024, 5, 5)
+    rows = [(i, u, day) for i, u in enumerate(["http://h.com/a/b/c/d/e", "http://h.com/a/b/c", "http://H.com/Forum/x", "http://h.com/forum/x"])]
+    entries = [("L", "path", "h.com/a/b/c/d", "deny", day, "add"), ("L", "path", "H.com/Forum", "deny", day, "add")]
+    got = U.judge_captures(spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp"), spark.createDataFrame(entries, ENTRIES)).collect()
+    assert {r.page_id: r.matched_key for r in got} == {0: "path:h.com/a/b/c/d", 1: None, 2: "path:h.com/Forum", 3: None}

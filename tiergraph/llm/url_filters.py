@@ -4,7 +4,7 @@ Lists of hosts, domains and path prefixes change: an entry is added on one day a
 removed on another. Dated entries become validity intervals, and every capture is
 judged by the entries that were active when it was fetched, not by today's list. A
 capture looks up all keys that could match its URL (its host, each parent domain, and
-each of the first path prefixes) by equality, and an interval must contain its fetch
+each path prefix, up to the longest in the lists) by equality, and an interval must contain its fetch
 time. Everything is DataFrame functions.
 
 Intervals of one key are cut at months, and the join is on key and month: however long
@@ -25,9 +25,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Path segments that a prefix entry may name.
-DEPTH = 3
-
 
 def url_host(url: Column) -> Column:
     """The host of an http(s) URL, in lower case, without user, port and trailing dot; null if there is none."""
@@ -35,8 +32,8 @@ def url_host(url: Column) -> Column:
     return F.nullif(F.rtrim(host, F.lit(".")), F.lit(""))
 
 
-def url_keys(url: Column, depth: int = DEPTH) -> Column:
-    """What list entries may match a URL: structs of key (kind:pattern) and rank, the specificity."""
+def url_keys(url: Column, depth: int) -> Column:
+    """What list entries of up to ``depth`` path segments may match a URL: structs of key (kind:pattern) and rank, the specificity."""
     host = url_host(url)
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")).alias("key"), (F.size(labels) - i + 1).cast("int").alias("rank")))
@@ -53,7 +50,10 @@ def list_intervals(entries: DataFrame) -> DataFrame:
     event is add or remove; an interval is [since, until), with until null while the entry stands.
     """
     known = entries.where(F.col("pattern").isNotNull() & F.col("listed_at").isNotNull() & F.col("event").isin("add", "remove"))
-    keyed = known.select("list", F.concat_ws(":", "kind", F.lower("pattern")).alias("key"), "action", F.col("listed_at").cast("timestamp").alias("since"), F.when(F.col("event") == "add", 1).otherwise(0).alias("on"))
+    #: Hosts have no case, paths do.
+    host = F.substring_index("pattern", "/", 1)
+    pattern = F.when(F.col("kind") == "path", F.concat(F.lower(host), F.substr("pattern", F.length(host) + 1))).otherwise(F.lower("pattern"))
+    keyed = known.select("list", F.concat_ws(":", "kind", pattern).alias("key"), "action", F.col("listed_at").cast("timestamp").alias("since"), F.when(F.col("event") == "add", 1).otherwise(0).alias("on"))
     daily = keyed.groupBy("list", "key", "action", "since").agg(F.max("on").alias("on"))
     order = Window.partitionBy("list", "key", "action").orderBy("since")
     #: Repeated adds prolong an interval, repeated removes do nothing.
@@ -61,8 +61,13 @@ def list_intervals(entries: DataFrame) -> DataFrame:
     return changes.withColumn("until", F.lead("since").over(order)).where("on = 1").select("list", "key", "action", "since", "until")
 
 
-def judge_captures(captures: DataFrame, entries: DataFrame, *, url_col: str = "url", time_col: str = "fetched_at", depth: int = DEPTH) -> DataFrame:
-    """The captures with verdict (deny, allow or none), matched_key, matched_list, n_active (matching active entries)."""
+def judge_captures(captures: DataFrame, entries: DataFrame, *, url_col: str = "url", time_col: str = "fetched_at", depth: int | None = None) -> DataFrame:
+    """The captures with verdict (deny, allow or none), matched_key, matched_list, n_active (matching active entries).
+
+    Paths are looked up to ``depth`` segments, by default as many as the longest path entry has.
+    """
+    if depth is None:
+        depth = entries.where("kind = 'path'").agg(F.max(F.size(F.filter(F.split("pattern", "/"), lambda s: s != "")) - 1)).first()[0] or 0
     looked = captures.select(F.col(url_col).alias("__url"), F.col(time_col).cast("timestamp").alias("__at")).where("__url is not null and __at is not null").distinct()
     keys = looked.select("__url", "__at", F.trunc("__at", "MM").alias("month"), F.explode(url_keys(F.col("__url"), depth)).alias("k")).select("__url", "__at", "month", "k.key", "k.rank")
     last = looked.agg(F.max("__at")).first()[0]  # one value: how far open intervals reach
