@@ -65,6 +65,38 @@ def test_reading_in_small_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_two_scans_may_be_split_differently(spark, tmp_path):
+    """Executors that join or are lost change a scan's splits: here between the chain's scan and that of the texts."""
+    path = str(tmp_path / "w")
+    rows = pages() + [(1000 + i, f"http://many/{i}", "w" * (i % 7) + W.MAGIC * (i % 3)) for i in range(300)]
+    W.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path)
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.files.openCostInBytes", "spark.sql.leafNodeDefaultParallelism")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")
+        records = W.read_archives(spark, path)
+        few = records.rdd.getNumPartitions()
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "32")
+        records = records.select("*")  # planned anew
+        got = [(None if r.record_id is None else int(r.record_id), None if r.payload is None else bytes(r.payload), r.payload_digest, r.record_type, None if r.refers_to is None else int(r.refers_to)) for r in records.collect()]
+        assert records.rdd.getNumPartitions() != few
+        assert sorted(got, key=repr) == brute(rows)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_an_archive_within_a_payload(spark, tmp_path):
+    """A record's text stands in another one's payload as well, and in the same file."""
+    inner = spark.createDataFrame([(1, "http://a", "plain")], "page_id long, url string, html string")
+    W.write_archives(inner, str(tmp_path / "inner"))
+    copy = next(f for f in (tmp_path / "inner").iterdir() if f.name.startswith("part-") and f.stat().st_size).read_bytes().decode()
+    rows = [(1, "http://a", "plain"), (2, "http://b", copy), (3, "http://c", copy + copy), (4, "http://d", "x" + copy + "y")]
+    path = str(tmp_path / "w")
+    W.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    assert read(spark, path) == brute(rows)
+
+
 def test_empty_table(spark, tmp_path):
     W.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert W.read_archives(spark, str(tmp_path / "w")).count() == 0

@@ -6,8 +6,10 @@ starts in the middle of a file cannot trust what looks like a record. Tasks ther
 read their parts of a file independently, cut at every magic, and emit for each
 candidate where its successor would start. A candidate is a record exactly if the chain
 of successors from the file's start reaches it, which pointer jumping finds in
-logarithmically many rounds; runs of candidates that follow each other directly are one
-jump from the start. Text after a false magic is put back into the record around it.
+logarithmically many rounds; runs of candidates that follow each other directly within a part
+are one jump from the start. Text after a false magic is put back into the record around it.
+An archive is scanned once for the chain and once for the texts, and the scans may be split
+differently, so the second finds what it looks for by file and digest, not by a row's place.
 
 Archives are written and read by Spark's own text source, on any file system it knows.
 Of payloads that are equal and have ``least`` bytes, the one with the largest id is
@@ -70,10 +72,9 @@ def _if_small(chosen: DataFrame) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
-    """(file, part, n, value, size): what stands between one magic and the next, in order of n within a part of a file."""
+    """(file, value, digest): what stands between one magic and the next."""
     lines = spark.read.option("lineSep", MAGIC).text(path)
-    place = {"file": F.col("_metadata.file_path"), "part": F.col("_metadata.file_block_start"), "n": F.monotonically_increasing_id(), "size": (F.octet_length("value") + len(MAGIC)).cast("long")}
-    return lines.select("value", *[c.alias(k) for k, c in place.items()])
+    return lines.select(F.col("_metadata.file_path").alias("file"), "value", F.unhex(F.md5("value")).alias("digest"), F.col("_metadata.file_block_start").alias("part"))
 
 
 def _field(name: str, head: Column) -> Column:
@@ -90,53 +91,65 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     head = F.substring_index("value", END, 1)
     complete = F.instr("value", END) > 0
     length = F.when(complete, F.try_to_number(_field("Content-Length", head), F.lit("999999999999999")))
-    skinny = write_scratch(chunks.select("file", "part", "n", "size", (F.octet_length(head) + len(MAGIC) + 2 * len(END) + length.cast("long")).alias("span")), "chunks")
+    span = F.octet_length(head) + len(MAGIC) + 2 * len(END) + length.cast("long")
+    size = (F.octet_length("value") + len(MAGIC)).cast("long")
+    skinny = write_scratch(chunks.select("file", "part", F.monotonically_increasing_id().alias("n"), "digest", size.alias("size"), span.alias("span")), "chunks")
     sizes = skinny.groupBy("file", "part").agg(F.sum("size").alias("all"))
-    parts = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("file", "part", F.coalesce(F.sum("all").over(parts), F.lit(0)).alias("base"))
+    #: One row a part of a file, some hundred MB each, meet here; chunks meet within their part alone.
+    earlier = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("file", "part", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("base"))
     inside = Window.partitionBy("file", "part").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     placed = skinny.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["file", "part"])
     #: A file starts with the empty chunk before its first magic, so a chunk's magic is one magic to the left.
-    placed = write_scratch(placed.select("file", "n", (F.col("base") + F.col("before") - len(MAGIC)).alias("at"), "size", "span"), "placed")
-    records = _reachable(placed)
+    placed = write_scratch(placed.select("file", "part", "digest", (F.col("base") + F.col("before") - len(MAGIC)).alias("at"), "span"), "placed")
+    records = write_scratch(_reachable(placed), "records")
 
     #: Chunks of a record: its own, and those up to its successor, which began with a false magic.
-    owner = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    owned = placed.where("at >= 0").join(records.withColumn("real", F.lit(True)), ["file", "at"], "left")
-    owned = write_scratch(owned.withColumn("record", F.max(F.when(F.col("real"), F.col("at"))).over(owner)).where("record is not null").withColumn("lone", F.count("*").over(Window.partitionBy("file", "record")) == 1).select("n", "file", "at", "record", "lone"), "owned")
-    #: Nearly all chunks are one record each, so only the others are looked up.
-    others = write_scratch(skinny.select("n", "file").join(owned.where("lone").select("n"), "n", "left_anti").join(owned.select("n", "at", "record"), "n", "left"), "others")
-    others = F.broadcast(others) if others.count() <= SMALL_ROWS else others
-    whole = chunks.select("n", "file", "value").join(others.select("n"), "n", "left_anti").select("file", "value")
-    parts = chunks.select("n", "value").join(others, "n").where("record is not null")
-    joined = parts.groupBy("file", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC).alias("value")).select("file", "value")
+    carried = records.groupBy("file", "part").agg(F.max("at").alias("latest"))
+    carried = placed.select("file", "part").distinct().join(carried, ["file", "part"], "left").select("file", "part", F.max("latest").over(earlier).alias("carried"))
+    upto = Window.partitionBy("file", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = placed.join(records.withColumn("real", F.lit(True)), ["file", "part", "at"], "left").withColumn("latest", F.max(F.when(F.col("real"), F.col("at"))).over(upto))
+    owned = write_scratch(marked.join(carried, ["file", "part"]).select("file", "digest", "at", F.coalesce("latest", "carried").alias("record")), "owned")
+    #: Nearly all chunks are one record each, so only the others are looked up, with whatever equals them.
+    shared = owned.groupBy("file", "record").agg(F.count("*").alias("n")).where("n > 1 or record is null").select("file", F.col("record").alias("r"))
+    torn = owned.join(shared, (owned.file == shared.file) & owned.record.eqNullSafe(shared.r), "left_semi").select("file", "digest").distinct()
+    torn = _if_small(torn)
+    whole = chunks.join(torn, ["file", "digest"], "left_anti").select("file", "value")
+    texts = chunks.join(torn, ["file", "digest"], "left_semi").groupBy("file", "digest").agg(F.first("value").alias("value"))
+    places = owned.join(torn, ["file", "digest"], "left_semi").where("record is not null")
+    pieces = places.join(texts, ["file", "digest"]).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
+    joined = pieces.select("file", F.array_join(F.transform("parts", lambda x: x["value"]), MAGIC).alias("value"))
     return _parsed(whole.unionByName(joined))
 
 
 def _reachable(placed: DataFrame) -> DataFrame:
-    """(file, at) of the candidates on the chain from the start of their file."""
-    order = Window.partitionBy("file").orderBy("at")
-    nodes = placed.where("at >= 0").select("file", "at", (F.col("at") + F.col("span")).alias("next"), F.lead("at").over(order).alias("follower"), F.lag("at").over(order).alias("leader"))
-    #: A run of candidates that follow each other directly is one node, named by its first.
-    linked = nodes.withColumn("starts", F.when(F.col("leader").isNull() | ~F.coalesce(F.lag(F.col("next") == F.col("follower")).over(order), F.lit(False)), 1).otherwise(0))
-    runs = write_scratch(linked.select("file", "at", "next", F.sum("starts").over(order).alias("run")), "runs")
-    ends = runs.groupBy("file", "run").agg(F.min("at").alias("first"), F.max_by("next", "at").alias("next"))
-    entry = runs.select(F.col("file"), F.col("at").alias("next"), F.col("run").alias("to"), F.col("at").alias("enter"))
-    jump = write_scratch(ends.join(entry, ["file", "next"], "left").select("file", "run", "to", "enter"), "jump")
+    """(file, part, at) of the candidates on the chain from the start of their file. Without a column part, a file is one part."""
+    placed = placed if "part" in placed.columns else placed.withColumn("part", F.lit(0))
+    order = Window.partitionBy("file", "part").orderBy("at")
+    nodes = placed.where("at >= 0").select("file", "part", "at", (F.col("at") + F.col("span")).alias("next"))
+    #: A run of candidates that follow each other directly within a part is one node.
+    linked = nodes.withColumn("starts", F.when(F.lag("next").over(order) == F.col("at"), 0).otherwise(1))
+    runs = write_scratch(linked.select("file", "part", "at", "next", F.sum("starts").over(order).alias("run")), "runs")
+    run = ["file", "part", "run"]
+    ends = runs.groupBy(*run).agg(F.min("at").alias("first"), F.max_by("next", "at").alias("next"))
+    entry = runs.select("file", F.col("at").alias("next"), F.struct("part", "run").alias("to"), F.col("at").alias("enter"))
+    hops = write_scratch(ends.select("file", F.struct("part", "run").alias("of"), "next").join(entry, ["file", "next"]).select("file", "of", "to", "enter"), "hops")
     #: A run may be entered in its middle; from there on all of it is reached.
-    reached = write_scratch(ends.where("first = 0").select("file", "run", F.col("first").alias("enter")), "reached")
-    hops = jump.where("to is not null")
+    reached = write_scratch(ends.where("first = 0").select("file", F.struct("part", "run").alias("of"), F.col("first").alias("enter")), "reached")
+    n_reached = reached.count()
     while True:
-        step = reached.select("file", "run").join(hops, ["file", "run"]).select("file", F.col("to").alias("run"), "enter")
-        grown = write_scratch(reached.unionByName(step).groupBy("file", "run").agg(F.min("enter").alias("enter")), "reached")
-        if grown.count() == reached.count():
+        step = reached.select("file", "of").join(hops, ["file", "of"]).select("file", F.col("to").alias("of"), "enter")
+        grown = write_scratch(reached.unionByName(step).groupBy("file", "of").agg(F.min("enter").alias("enter")), "reached")
+        n_grown = grown.count()
+        if n_grown == n_reached:
             break
         drop_scratch(reached)
-        reached = grown
+        reached, n_reached = grown, n_grown
         #: Twice as far: where two hops lead.
-        far = hops.select("file", F.col("run").alias("to"), F.col("to").alias("to2"), F.col("enter").alias("enter2"))
-        hops = write_scratch(hops.select("file", "run", "to").join(far, ["file", "to"]).select("file", "run", F.col("to2").alias("to"), F.col("enter2").alias("enter")), "hops")
-    return runs.join(grown, ["file", "run"]).where("at >= enter").select("file", "at")
+        far = hops.select("file", F.col("of").alias("to"), F.col("to").alias("to2"), F.col("enter").alias("enter2"))
+        hops = write_scratch(hops.select("file", "of", "to").join(far, ["file", "to"]).select("file", "of", F.col("to2").alias("to"), F.col("enter2").alias("enter")), "hops")
+    entered = grown.select("file", "of.part", "of.run", "enter")
+    return runs.join(entered, run).where("at >= enter").select("file", "part", "at")
 
 
 def _parsed(records: DataFrame) -> DataFrame:
