@@ -1,24 +1,33 @@
 """Quality rules by weak supervision.
 
-Rules look at one document and vote good or bad or abstain. No rule decides by
-itself: expectation-maximisation over the votes of the whole table estimates how
-often each rule votes each way on good and on bad documents, and a document's
-posterior probability of being good replaces the demand that it passes every
-rule. Documents enter the estimate as counts of equal vote patterns, of which
-there are at most 3^rules however large the table is.
+Rules look at one document and vote strongly bad, weakly bad or good, or abstain. No
+rule decides by itself: expectation-maximisation over the votes of the whole table
+estimates how often each rule votes which way on good documents and on each kind of
+bad ones, and a document's posterior probability of being good replaces the demand that
+it passes every rule. What some rule dislikes and all others find good is usually better
+explained by that rule's rate on good documents; several weak votes of one kind are not.
+
+Bad documents are of several kinds, and a rule that knows one kind finds the others good.
+With one bad class the estimate would settle on the commonest kind and all else; so
+each kind has a class of its own, told apart by which rules it starts from. Starting
+values count as ``strength`` votes, so that on all but tiny tables votes decide.
+
+Documents enter the estimate as counts of equal vote patterns, of which there are at
+most 4^rules however large the table is.
 
 Defined results: a null or empty text has no words and fails the base rules; an
-empty table gives an empty result and the prior accuracies; rows that repeat are
-scored alike; other columns are passed on untouched by :func:`score_quality`.
+empty table gives an empty result; rows that repeat are scored alike, each counted; a
+null id is kept as null; very long texts are read whole; :func:`score_quality` returns
+the id and its own columns alone, :func:`keep_good` all columns of its input.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +41,7 @@ _BARE = re.compile(r"(?<![^ \t-\r])[^\w \t-\r]+(?![^ \t-\r])")
 _STOP = re.compile(r"[.!?](?![^ \t-\r])")
 #: The symbols that the base rule counts.
 SYMBOLS = "#*$%&|<>"
-#: Rejected keys are broadcast up to so many rows (some 3 MB); beyond that they are shuffled.
+#: Rejected keys are broadcast up to so many rows (some 10 MB); beyond that they are shuffled.
 SMALL_ROWS = 200_000
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts", "n_bare", "n_stops", "n_distinct_words")
@@ -75,62 +84,62 @@ def _ratio(a: str, b: str) -> Column:
     return F.when(F.col(b) > 0, F.col(a) / F.col(b))
 
 
-def rules() -> dict[str, tuple[Column, Column]]:
-    """By name: when a rule votes bad, when it votes good; else it abstains."""
-    letters = _ratio("n_upper", "word_chars")
-    length = _ratio("word_chars", "n_words")
+#: Votes; an abstention is -1.
+STRONG, WEAK, GOOD = 0, 1, 2
+#: What rules of each kind of bad document know best.
+KINDS = {"brevity": ("length",), "noise": ("word_length", "symbols", "bare_symbols"), "repetition": ("repeats", "variety"), "shouting": ("capitals", "shouts", "sentences")}
+#: Starting rates of strong, weak and good votes: on good documents, on a kind by its own rules, and by the others.
+ON_GOOD, BY_OWN, BY_OTHERS = (0.01, 0.06, 0.93), (0.5, 0.3, 0.2), (0.03, 0.12, 0.85)
+
+
+def rules() -> dict[str, tuple[Column, Column, Column]]:
+    """By name: when a rule votes strongly bad, else weakly bad, else good; else it abstains."""
+    n, length = F.col("n_words"), _ratio("word_chars", "n_words")
     symbols, repeats = _ratio("n_symbols", "word_chars"), _ratio("n_repeat_words", "n_words")
-    lines, shouts, bare, stops = _ratio("n_dup_lines", "n_lines"), _ratio("n_shouts", "n_words"), _ratio("n_bare", "n_words"), _ratio("n_stops", "n_words")
+    lines, variety = _ratio("n_dup_lines", "n_lines"), _ratio("n_distinct_words", "n_words")
+    capitals, shouts = _ratio("n_upper", "word_chars"), _ratio("n_shouts", "n_words")
+    bare, stops = _ratio("n_bare", "n_words"), _ratio("n_stops", "n_words")
     return {
-        "length": (F.col("n_words") < 20, F.col("n_words") >= 60),
-        "word_length": ((length < 2.5) | (length > 12), (length >= 3) & (length <= 9)),
-        "symbols": (symbols > 0.04, symbols < 0.005),
-        "repeats": (repeats > 0.35, repeats < 0.05),
-        "duplicate_lines": ((lines > 0.4) & (F.col("n_dup_lines") > 1), (lines < 0.1) & (F.col("n_lines") > 1)),
-        "capitals": (letters > 0.3, letters < 0.1),
-        "shouting": (shouts > 0.1, shouts < 0.01),
-        "bare_symbols": (bare > 0.1, bare < 0.01),
-        "sentences": (stops < 0.01, (stops >= 0.02) & (stops <= 0.35)),
+        "length": (n < 20, n < 50, n >= 60),
+        "word_length": ((length < 2.5) | (length > 12), (length < 3.5) | (length > 7), length <= 6.5),
+        "symbols": (symbols > 0.04, symbols > 0.005, symbols <= 0.002),
+        "repeats": ((repeats > 0.35) | ((lines > 0.4) & (F.col("n_dup_lines") > 1)), (repeats > 0.1) | (lines > 0.2), (repeats < 0.05) & (lines < 0.1)),
+        #: Long texts repeat words by nature.
+        "variety": (variety < 0.15, (variety < 0.55) & (n <= 1000), (variety >= 0.6) | (n > 1000)),
+        "capitals": (capitals > 0.3, capitals > 0.06, capitals <= 0.05),
+        "shouts": (shouts > 0.1, shouts > 0.01, shouts <= 0.002),
+        "bare_symbols": (bare > 0.1, bare > 0.01, bare <= 0.005),
+        "sentences": ((stops < 0.005) | (stops > 0.6), (stops < 0.03) | (stops > 0.25), stops >= 0.03),
     }
 
 
-def fit_rules(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, *, prior_good: float = 0.85, strength: float = 50.0, max_false: float = 0.003, iterations: int = 60) -> tuple[float, list[tuple[float, float]]]:
-    """EM over (votes, count) patterns; a vote is 1 good, 0 bad, -1 abstain.
+def starting_rates(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(shares of classes, rates by class, rule and vote); the first class is the good one."""
+    shares = np.array([0.8] + [0.2 / len(KINDS)] * len(KINDS))
+    rates = [[ON_GOOD] * len(names)] + [[BY_OWN if x in own else BY_OTHERS for x in names] for own in KINDS.values()]
+    return shares, np.array(rates)
 
-    Returns the share of good documents, and for each rule the probability that
-    its vote on a bad document is bad and that its vote on a good one is good.
-    Beta priors worth ``strength`` votes hold the estimate where there are few votes.
-    Kinds of bad documents are many and each rule knows one, so without more the two
-    classes would settle on the commonest kind and all else: the rules are written to
-    be precise, and ``max_false`` bounds the share of good documents on which one of
-    them votes bad.
-    """
-    share, accuracy = prior_good, [(0.3, 1 - max_false)] * n_rules
+
+def posteriors(votes: np.ndarray, shares: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """(n, rules) votes -> (n, classes) probabilities; abstentions say nothing."""
+    logs = np.tile(np.log(shares), (len(votes), 1))
+    for vote in (STRONG, WEAK, GOOD):
+        logs += (votes == vote) @ np.log(rates[:, :, vote]).T
+    odds = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return odds / odds.sum(axis=1, keepdims=True)
+
+
+def fit_rules(patterns: list[tuple[tuple[int, ...], int]], shares: np.ndarray, rates: np.ndarray, *, strength: float = 20.0, iterations: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """EM over (votes, count) patterns from starting (shares, rates), which count as ``strength`` documents a class: (shares, rates)."""
+    first_shares, first_rates = shares, rates
+    votes = np.array([p for p, _ in patterns], np.int8).reshape(len(patterns), rates.shape[1])
+    counts = np.array([n for _, n in patterns], float)
     for _ in range(iterations):
-        good_mass = total = 0.0
-        hits = [[0.3 * strength, strength, (1 - max_false) * strength, strength] for _ in range(n_rules)]
-        for votes, count in patterns:
-            p = posterior(votes, share, accuracy)
-            good_mass += p * count
-            total += count
-            for j, v in enumerate(votes):
-                if v >= 0:
-                    hits[j][0] += (1 - p) * count * (v == 0)
-                    hits[j][1] += (1 - p) * count
-                    hits[j][2] += p * count * (v == 1)
-                    hits[j][3] += p * count
-        share = min(0.99, max(0.05, (good_mass + prior_good * strength) / (total + strength)))
-        accuracy = [(min(0.995, max(0.02, a / b)), min(0.9999, max(1 - max_false, c / d))) for a, b, c, d in hits]
-    return share, accuracy
-
-
-def posterior(votes: tuple[int, ...], share: float, accuracy: list[tuple[float, float]]) -> float:
-    """The probability that a document with these votes is good."""
-    logit = math.log(share / (1 - share))
-    for v, (bad, good) in zip(votes, accuracy, strict=True):
-        if v >= 0:
-            logit += math.log(good / (1 - bad)) if v else math.log((1 - good) / bad)
-    return 1 / (1 + math.exp(-max(-700.0, min(700.0, logit))))
+        mass = posteriors(votes, shares, rates) * counts[:, None]
+        seen = np.stack([mass.T @ (votes == vote) for vote in (STRONG, WEAK, GOOD)], axis=2) + strength * first_rates
+        rates = seen / seen.sum(axis=2, keepdims=True)
+        shares = (mass.sum(axis=0) + strength * first_shares) / (counts.sum() + strength)
+    return shares, rates
 
 
 def score_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
@@ -143,21 +152,24 @@ def score_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     bounded_batches(docs.sparkSession)
     found = write_scratch(with_features(docs, id_col, text_col), "features")
     voted = rules()
-    votes = found.withColumn("votes", F.array(*[F.when(bad, 0).when(good, 1).otherwise(-1).cast("int") for bad, good in voted.values()]))
-    patterns = [(tuple(r.votes), r["count"]) for r in votes.groupBy("votes").count().collect()]  # 3^9 rows at most
-    share, accuracy = fit_rules(sorted(patterns), len(voted))
-    logit = F.lit(math.log(share / (1 - share)))
-    for j, (bad, good) in enumerate(accuracy):
-        v = F.col("votes")[j]
-        logit = logit + F.when(v == 1, math.log(good / (1 - bad))).when(v == 0, math.log((1 - good) / bad)).otherwise(0.0)
+    cast = [F.when(strong, STRONG).when(weak, WEAK).when(good, GOOD).otherwise(-1).cast("int") for strong, weak, good in voted.values()]
+    votes = found.withColumn("votes", F.array(*cast))
+    patterns = [(tuple(r.votes), r["count"]) for r in votes.groupBy("votes").count().collect()]  # 4^9 rows at most
+    shares, rates = fit_rules(sorted(patterns), *starting_rates(list(voted)))
+    logs = []
+    for share, by_rule in zip(shares.tolist(), np.log(rates).tolist(), strict=True):
+        at = lambda j, by_rule=by_rule: F.coalesce(F.get(F.array(*map(F.lit, by_rule[j])), F.col("votes")[j]), F.lit(0.0))
+        logs.append(sum((at(j) for j in range(len(by_rule))), F.lit(float(np.log(share)))))
+    odds = sum((F.exp(x - logs[0]) for x in logs[1:]), F.lit(1.0))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
-    scored = votes.withColumn("quality", 1 / (1 + F.exp(-logit))).withColumn("base_failed", failed)
+    scored = votes.withColumn("quality", 1 / odds).withColumn("base_failed", failed)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
 def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that are kept, with their columns. Rows are told apart by id and text."""
-    keyed = docs.withColumn("__quality_key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    """The documents that are kept, with their columns. Rows are told apart by a 256-bit digest of id and text."""
+    parts = [F.when(F.col(c).isNull(), "-").otherwise(F.concat_ws(":", F.octet_length(F.col(c).cast("string")), F.col(c).cast("string"))) for c in (id_col, text_col)]
+    keyed = docs.withColumn("__quality_key", F.unhex(F.sha2(F.concat_ws("\n", *parts), 256)))
     scored = score_quality(keyed, id_col="__quality_key", text_col=text_col, **options)
     gone = write_scratch(scored.where("not kept").select("__quality_key").distinct(), "rejected")
     small = F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone
