@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 import pytest
 
@@ -39,3 +41,24 @@ def test_only_misses_are_encoded_and_appended(spark, tmp_path):
     assert stored.count() == 3 == stored.select("digest").distinct().count()
     T.count_tokens(first, public_tokenizers.path("word_bpe_49k.json"), cache_path=cache).collect()
     assert spark.read.parquet(cache).select("tokenizer").distinct().count() == 2
+
+
+def test_pieces_add_up_to_the_librarys_counts():
+    """Every character but surrogates, in every company: what the library classes otherwise goes to it whole."""
+    counter = T.load_counter(public_tokenizers.path("byte_bpe_50k.json"))
+    assert isinstance(counter, T.PieceCounter)
+    draw = random.Random(3)
+    every = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    common = list("abzßéДж漢字अ12٣½²Ⅷ _'\u2019.,!?-\t\n\r\x0b\x1c\x85\u00a0\u2003\u200b\u3000\ufeff") + ["'s", "'ll", "  ", "\n\n"]
+    texts = ["".join(draw.choice(every if draw.random() < 0.1 else common) for _ in range(draw.randrange(60))) for _ in range(3000)]
+    texts += ["".join(every[i : i + 500]) for i in range(0, len(every), 500)] + ["a<|endoftext|>b", " <|endoftext|>"]
+    assert counter(texts) == counter.encoded(texts)
+    assert counter(texts[::-1]) == counter.encoded(texts[::-1])
+
+
+def test_pieces_are_remembered_within_bounds(monkeypatch):
+    monkeypatch.setattr(T, "PIECES", 50)
+    counter = T.load_counter(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [f"word{i} {'y' * i}" for i in range(100)]
+    assert [counter([t])[0] for t in texts] == counter.encoded(texts)
+    assert len(counter.known) <= 50 + 4 and max(map(len, counter.known)) <= T.LONGEST

@@ -15,10 +15,12 @@ one encoding; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,10 @@ from tiergraph.llm._common import bounded_batches, scratch_path, write_scratch
 CACHE_SCHEMA = "tokenizer string, digest string, n_bytes long, n_tokens long"
 #: Characters that are encoded in one call, to bound a worker's memory.
 BATCH_CHARS = 1 << 20
+#: Pieces whose counts a worker remembers, and the longest of them.
+PIECES, LONGEST = 1 << 20, 64
+#: Fixed value: how a byte-level vocabulary cuts a text into pieces, which it then encodes one by one.
+PIECE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def tokenizer_version(path: str) -> str:
@@ -36,6 +42,54 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(f"{name} {__import__(name).__version__}\n".encode() + f.read()).hexdigest()
 
 
+class PieceCounter:
+    """texts -> token counts, as the sum of their pieces' counts, each of which the library gives once.
+
+    Holds for vocabularies that cut a text into pieces and encode these apart
+    (``fits``). The library's own cut is taken as reference: each character that comes up is
+    asked for once, and a text with one that it classes otherwise, or with an added
+    token's string, is left to the library as a whole.
+    """
+
+    def __init__(self, tokenizer, added: list[str]) -> None:
+        self.tokenizer = tokenizer
+        self.added = added
+        self.cut = regex.compile(PIECE).findall
+        self.known: dict[str, int] = {}
+        self.classed: set[str] = set()
+        self.odd: set[str] = set()
+
+    @staticmethod
+    def fits(config: dict) -> bool:
+        before, model = config["pre_tokenizer"] or {}, config["model"]
+        plain = config["normalizer"] is None and config["post_processor"] is None and model["type"] == "BPE" and not model.get("dropout")
+        return plain and before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", False)
+
+    def encoded(self, texts: list[str]) -> list[int]:
+        return [len(x) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def agrees(self, text: str) -> bool:
+        """Whether the library cuts the text as PIECE does: after a letter, a digit and a sign, each character shows its class."""
+        found = set(text)
+        for c in found - self.classed:
+            self.classed.add(c)
+            if any(len(self.cut(x + c)) != len(self.tokenizer.pre_tokenizer.pre_tokenize_str(x + c)) for x in "a1!"):
+                self.odd.add(c)
+        return not (self.odd and self.odd & found) and not any(x in text for x in self.added)
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        cut = [self.cut(x) if self.agrees(x) else None for x in texts]
+        new = list({p for found in cut if found for p in found if p not in self.known})
+        now = dict(zip(new, self.encoded(new), strict=True))
+        known = self.known
+        whole = iter(self.encoded([x for x, found in zip(texts, cut, strict=True) if found is None]))
+        counts = [next(whole) if found is None else sum(known[p] if p in known else now[p] for p in found) for found in cut]
+        if len(known) + len(now) > PIECES:
+            known.clear()
+        known.update((p, n) for p, n in now.items() if len(p) <= LONGEST)
+        return counts
+
+
 def load_counter(path: str):
     """texts -> token counts, without added special tokens, as the file's library gives them."""
     if path.endswith(".json"):
@@ -45,7 +99,10 @@ def load_counter(path: str):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        return lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        counter = PieceCounter(tokenizer, [x["content"] for x in config["added_tokens"]])
+        return counter if counter.fits(config) else counter.encoded
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
