@@ -99,3 +99,13 @@ def test_lone_members_are_left_out_in_passing():
         found = J._shared(iter([pa.RecordBatch.from_arrays([pa.array([r[0] for r in b], pa.int64()), pa.array([r[1] for r in b], pa.int64())], ["sig", "c"]) for b in batches]))
         got = [tuple(r.values()) for b in found for r in b.to_pylist()]
         assert got == [r for r in sorted(set(rows)) if len({c for s, c in rows if s == r[0]}) > 1]
+
+
+@pytest.mark.parametrize(("block", "most"), [(512, 4096), (3, 2)])
+def test_classes_that_share_their_signature_bits_lose_no_link(spark, monkeypatch, block, most):
+    """Signatures carry 63 bits of a set; here only five, so that many different sets share them."""
+    whole = J._class
+    monkeypatch.setattr(J, "_class", lambda s: whole(s) & 0x3E)
+    rows = corpus(77, n=120)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=4, den=5, block=block, most=most).collect()}
+    assert got == brute(rows, 3, 4, 5)

@@ -108,10 +108,15 @@ def signatures(s: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int]
 
 
 def _class(s: np.ndarray) -> int:
-    """A set as 63 bits and a free last one."""
+    """A set as 63 bits and a free last one; with the other 64 bits and the size it is what tells sets apart."""
     return int(mix64(s).sum(dtype=np.uint64)) & ~1
 
 
+def _rest(s: np.ndarray) -> int:
+    """The other 64 bits."""
+    return int(mix64(s ^ _SEED).sum(dtype=np.uint64))
+
+
 def _longs(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
@@ -125,7 +130,7 @@ def _sign(width: int, num: int, den: int):
             sets = [shingle_set(hasher.of(x.as_py() or ""), width) for x in batch.column("text")]
             needs = [[x[2] for x in needed(len(s), num, den)] for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _longs([_class(s) for s in sets]), _longs([int(mix64(s ^ _SEED).sum(dtype=np.uint64)) for s in sets]), pa.array(needs, pa.list_(pa.int32())), pa.array([sketch(s).tobytes() for s in sets], pa.binary())],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _longs([_class(s) for s in sets]), _longs([_rest(s) for s in sets]), pa.array(needs, pa.list_(pa.int32())), pa.array([sketch(s).tobytes() for s in sets], pa.binary())],
                 ["doc_id", "n_shingles", "c1", "c2", "needs", "sketch"],
             )
 
@@ -141,11 +146,12 @@ def _emit(width: int, num: int, den: int):
             sigs, owners = [], []
             for x in batch.column("text"):
                 s = shingle_set(hasher.of(x.as_py() or ""), width)
-                if (one := _class(s)) in seen:
+                one = _class(s)
+                if (known := (len(s), one, _rest(s))) in seen:
                     continue
                 if len(seen) >= 1 << 20:
                     seen.clear()
-                seen.add(one)
+                seen.add(known)
                 for i, (found, _) in enumerate(signatures(s, num, den)):
                     sigs.append(found)
                     owners.append(np.full(len(found), one + i, np.uint64))
@@ -285,9 +291,12 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = write_scratch(texts.mapInArrow(_sign(width, num, den), "doc_id long, n_shingles long, c1 long, c2 long, needs array<int>, sketch binary"), "signed")
-    classes = write_scratch(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "c1", "c2").agg(F.min("doc_id").alias("node")), "classes")
-    members = write_scratch(signed.select("doc_id", "n_shingles", "c1", "c2").join(classes, ["n_shingles", "c1", "c2"], "left"), "members")
-    classes = classes.groupBy("c1").agg(F.min("node").alias("node"), F.min("n_shingles").alias("size"))
+    classes = write_scratch(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "c1", "c2").agg(F.min("doc_id").alias("node"), F.min("sketch").alias("of")), "classes")
+    members = write_scratch(signed.select("doc_id", "n_shingles", "c1", "c2").join(classes.drop("of"), ["n_shingles", "c1", "c2"], "left"), "members")
+    #: Signatures carry 63 bits of a class. Different classes with the same ones have all signatures of either, so none loses a link.
+    sketches = classes.select("node", "of")
+    classes = classes.select("c1", "node", F.col("n_shingles").alias("size"))
+    same_bits = write_scratch(classes.groupBy("c1").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "same_bits")
 
     #: A member of a signature is a class in one of its bands. Members come in order, and those alone with theirs are left out in passing.
     dealt = texts.where("doc_id is not null").select("text").mapInArrow(_emit(width, num, den), "sig long, c long").repartition("sig").sortWithinPartitions("sig", "c")
@@ -295,7 +304,7 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5
     #: Classes that share fewer signatures, with whomever, than a similar set would are out.
     known = signed.where("doc_id is not null")
     needs = known.select("c1", F.posexplode("needs").alias("at", "need")).select((F.col("c1") + F.col("at")).alias("c"), "need").distinct()
-    enough = write_scratch(rows.groupBy("c").agg(F.count("*").alias("n")).join(needs, "c").where("n >= need").select("c"), "enough")
+    enough = write_scratch(rows.groupBy("c").agg(F.count("*").alias("n")).join(needs, "c").where("n >= need").select("c").distinct(), "enough")
     rows = rows.join(enough, "c", "left_semi")
     marks = rows.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("c")).alias("mark")).where("low <> high")
     marks = write_scratch(marks, "marks")
@@ -303,7 +312,7 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5
 
     #: What signatures tie together is one task's work where it is small, and each set travels once.
     ties = write_scratch(rows.select(F.col("low").bitwiseAND(F.lit(-2)).alias("__hub"), "node").distinct(), "ties")
-    hubs = ties.join(classes.select(F.col("c1").alias("__hub"), F.col("node").alias("least")), "__hub")
+    hubs = ties.join(classes.groupBy(F.col("c1").alias("__hub")).agg(F.min("node").alias("least")), "__hub")
     placed = _placed(connected_components(hubs.select("least", "node")), classes, most)
     compared = placed.where("light").select(F.col("component").alias("group"), F.lit(-1).alias("part"), F.lit(0).alias("block"), "node", "size")
     if not (heavy := placed.where("not light")).isEmpty():
@@ -315,11 +324,12 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5
         dealt_out = cut.select("sig", "c1", "node", "size", "block", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
         parts = write_scratch(dealt_out.select(F.col("sig").alias("group"), (F.least("block", "other") * F.col("n") + F.greatest("block", "other")).alias("part"), "block", "c1", "node", "size"), "parts")
         #: They meet as sketches first, and what these don't rule out is tied together anew.
-        sketches = known.groupBy("c1").agg(F.min("sketch").alias("of"))
-        again = _placed(connected_components(_compared(parts.join(sketches, "c1"), num, den, exact=False)), classes, most)
+        again = _placed(connected_components(_compared(parts.join(sketches, "node"), num, den, exact=False)), classes, most)
         compared = compared.unionByName(again.where("light").select(F.col("component").alias("group"), F.lit(-2).alias("part"), F.lit(0).alias("block"), "node", "size"))
         compared = compared.unionByName(parts.join(again.where("not light").select("node"), "node", "left_semi").select("group", "part", "block", "node", "size"))
-    compared = write_scratch(compared, "compared")
+    #: Those that share all 63 bits may share their signatures with no one else.
+    met = classes.join(same_bits.select("c1"), "c1").select(F.col("c1").alias("group"), F.lit(-3).alias("part"), F.lit(0).alias("block"), "node", "size")
+    compared = write_scratch(compared.unionByName(met), "compared")
     sets = texts.withColumnRenamed("doc_id", "node").join(compared.select("node").distinct(), "node", "left_semi").mapInArrow(_sets(width), "node long, of binary")
     links = _compared(compared.join(sets, "node"), num, den, exact=True)
     return members.select("doc_id", "n_shingles", "node"), write_scratch(links, "links")
