@@ -66,3 +66,18 @@ def test_deep_shallow_sort_orders_and_measures():
         order, common = S.deep_shallow_sort(strings, 16)
         assert [strings[i] for i in order] == sorted(strings)
         assert all(c == len(__import__("os").path.commonprefix([strings[a], strings[b]])) for a, b, c in zip(order, order[1:], common[1:], strict=False))
+
+
+def test_rows_that_repeat_are_sorted_once(spark, monkeypatch):
+    """Equal rows, ids and all, send one of them to the sorting tasks, however many there are."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefgh") for _ in range(900))
+    rows = [(7, long)] * 60 + [(8, "q" + long[:450] + "w" + long[451:])]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == Counter((i, *x) for (i, _), x in zip(rows, brute([r[1] for r in rows], 200), strict=True))
+    data = S.zstandard.ZstdCompressor().compress(long.encode())
+    segs = [{"h": 1, "first": 0, "count": 3, "back": 1}]
+    batch = pa.RecordBatch.from_arrays([pa.array([5] * 60), pa.array([data] * 60), pa.array([segs] * 60)], ["key", "packed", "open"])
+    assert sum(b.num_rows for b in S._contexts(200)(iter([batch, batch]))) == 1

@@ -279,13 +279,19 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(length: int):
-    """A document's bytes and its open segments -> the bytes of each of them."""
+    """A document's bytes and its open segments -> the bytes of each of them, once for all rows of a task that share a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
+        seen: set[int] = set()
         for batch in batches:
             h, keys, first, count, back, context = [], [], [], [], [], []
             for key, packed, segs in zip(*(batch.column(c) for c in ("key", "packed", "open")), strict=True):
+                if (one := key.as_py()) in seen:
+                    continue
+                if len(seen) >= 1 << 20:
+                    seen.clear()
+                seen.add(one)
                 data = unpack.decompress(packed.as_py(), max_output_size=1 << 31)
                 for s in segs.as_py():
                     h.append(s["h"])
@@ -300,10 +306,10 @@ def _contexts(length: int):
 
 
 def _sort_groups(length: int):
-    """Segments in order of h -> covered runs (key, start, end)."""
+    """Segments in order of h -> covered runs (key, start, end). A segment that comes again, with another copy of its row, is passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        now, rows, held = None, [], set()
 
         def close() -> pa.RecordBatch | None:
             keys, starts, ends = [], [], []
@@ -321,8 +327,10 @@ def _sort_groups(length: int):
                 if h != now:
                     if (out := close()) is not None:
                         yield out
-                    now, rows = h, []
-                rows.append(tuple(row))
+                    now, rows, held = h, [], set()
+                if (row[0], row[1]) not in held:
+                    held.add((row[0], row[1]))
+                    rows.append(tuple(row))
         if (out := close()) is not None:
             yield out
 
@@ -392,7 +400,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
     if hot_grams.isEmpty():
         runs = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_sort_groups(length), "key long, start long, end long")
     else:
-        contexts = write_scratch(contexts, "contexts")
+        contexts = write_scratch(contexts.dropDuplicates(["key", "first", "h"]), "contexts")
         runs = contexts.join(hot_grams, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(_sort_groups(length), "key long, start long, end long")
         windows = write_scratch(contexts.join(hot_grams, "h", "left_semi").mapInArrow(_windows(length), "digest binary, key long, start long"), "windows")
         repeated = write_scratch(windows.groupBy("digest").agg(F.count("*").alias("times")).where("times > 1").select("digest"), "repeated")
