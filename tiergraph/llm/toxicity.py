@@ -6,12 +6,16 @@ learning rate and drives rare, uninformative ones to exactly zero by its L1 term
 the weights that matter are a few thousand numbers, which travel with the task.
 
 Training takes at most ``max_train`` labelled rows, those with the least hash of
-their id: a bounded, documented sample. Scoring takes every whole text.
+their id: a bounded, documented sample. One task learns from them as a stream, a pass
+for each epoch in an order of its own, so it holds a coordinate table and one batch,
+however long the texts are; only weights other than 0 come to the driver, 2^BITS at
+most. Scoring takes every whole text.
 
 Defined results: a null or empty text has no features and gets the score of the
 intercept; labels that are null don't count; an id with labels of both kinds counts
-once for each; without any labels every score is 0.5; an empty table gives an empty
-result; other columns are ignored.
+once for each; of rows that repeat an id the least text is learnt from (null before any);
+without any labels every score is 0.5; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiergraph.llm._common import bounded_batches
+from tiergraph.llm._common import bounded_batches, write_scratch
 from tiergraph.llm._shingles import mix64
 
 BITS = 20
@@ -52,44 +56,78 @@ def features(text: str | None, tokens: dict) -> np.ndarray:
     return (np.concatenate([w, pairs, skips]) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def train_ftrl(rows: list[tuple[np.ndarray, int]], *, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = 5, seed: int = 7) -> tuple[float, dict[int, float]]:
-    """(intercept, weights other than 0) from (distinct places, label) rows.
+class Ftrl:
+    """The state of FTRL-proximal. The intercept has a rate of its own and no penalty."""
 
-    The intercept has a rate of its own and no penalty.
-    """
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    bias, bias_n = 0.0, 0.0
-    order = np.random.default_rng(seed)
+    def __init__(self, *, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0) -> None:
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+        self.z, self.n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        self.bias, self.bias_n = 0.0, 0.0
+
+    def weights_at(self, places: np.ndarray) -> np.ndarray:
+        z, n = self.z[places], self.n[places]
+        return np.where(np.abs(z) > self.l1, (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2), 0.0)
+
+    def learn(self, places: np.ndarray, label: int) -> None:
+        """One row: its distinct places, and its label."""
+        w, n = self.weights_at(places), self.n[places]
+        g = 1 / (1 + np.exp(-np.clip(self.bias + w.sum(), -35, 35))) - label
+        self.z[places] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
+        self.n[places] = n + g * g
+        self.bias_n += g * g
+        self.bias -= 0.1 * g / (1 + np.sqrt(self.bias_n))
+
+    def weights(self) -> tuple[float, dict[int, float]]:
+        """(intercept, weights other than 0)."""
+        kept = np.flatnonzero(np.abs(self.z) > self.l1)
+        return self.bias, dict(zip(kept.tolist(), self.weights_at(kept).tolist(), strict=True))
+
+
+def train_ftrl(rows: list[tuple[np.ndarray, int]], *, epochs: int = 5, seed: int = 7, **rates) -> tuple[float, dict[int, float]]:
+    """(intercept, weights other than 0) from (distinct places, label) rows that fit into memory."""
+    state, order = Ftrl(**rates), np.random.default_rng(seed)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
-            places, label = rows[i]
-            zs, ns = z[places], n[places]
-            w = np.where(np.abs(zs) > l1, (np.sign(zs) * l1 - zs) / ((beta + np.sqrt(ns)) / alpha + l2), 0.0)
-            g = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35))) - label
-            z[places] = zs + g - (np.sqrt(ns + g * g) - np.sqrt(ns)) / alpha * w
-            n[places] = ns + g * g
-            bias_n += g * g
-            bias -= 0.1 * g / (1 + np.sqrt(bias_n))
-    kept = np.flatnonzero(np.abs(z) > l1)
-    w = (np.sign(z[kept]) * l1 - z[kept]) / ((beta + np.sqrt(n[kept])) / alpha + l2)
-    return bias, dict(zip(kept.tolist(), w.tolist(), strict=True))
+            state.learn(*rows[i])
+    return state.weights()
 
 
 def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tokens = _Tokens()
     for batch in batches:
         places = [np.unique(features(x.as_py(), tokens)).astype(np.int32).tobytes() for x in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([pa.array(places, pa.binary()), batch.column("label")], ["places", "label"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(places, pa.binary()), batch.column("label")], ["id", "places", "label"])
+
 
+def _learnt(rates: dict[str, float]):
+    """Rows in order -> (place, weight); the intercept's place is -1."""
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, **options) -> tuple[float, dict[int, float]]:
-    """Fits on the labelled documents; at most ``max_train`` rows of features come to the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, any_row = Ftrl(**rates), False
+        for batch in batches:
+            for places, label in zip(batch.column("places"), batch.column("label"), strict=True):
+                state.learn(np.frombuffer(places.as_py(), np.int32).astype(np.int64), label.as_py())
+                any_row = True
+        if any_row:
+            bias, weights = state.weights()
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *weights], pa.int32()), pa.array([bias, *weights.values()], pa.float64())], ["place", "weight"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, epochs: int = 5, seed: int = 7, **rates) -> tuple[float, dict[int, float]]:
+    """(intercept, weights other than 0), learnt from at most ``max_train`` labelled documents."""
     bounded_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
     sample = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct().orderBy(F.xxhash64(F.col("id").cast("string")), "id", "label").limit(max_train)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # max_train rows of two numbers
-    rows = texts.select("id", "text", "label").groupBy("id", "label").agg(F.min("text").alias("text")).select("text", "label").mapInArrow(_featurised, "places binary, label int").limit(max_train).collect()
-    data = sorted((bytes(r.places), r.label) for r in rows)
-    return train_ftrl([(np.frombuffer(p, np.int32).astype(np.int64), y) for p, y in data], **options)
+    rows = texts.groupBy("id", "label").agg(F.min("text").alias("text")).select("id", "text", "label").mapInArrow(_featurised, f"id {kind}, places binary, label int")
+    #: A pass is a copy of the rows, in the order of a hash of its own. All go to one task, which keeps none of them.
+    passes = write_scratch(rows, "training").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    order = passes.withColumn("turn", F.xxhash64(F.lit(seed), "epoch", F.col("id").cast("string"), "label"))
+    found = order.repartition(1).sortWithinPartitions("epoch", "turn", "id", "label").select("places", "label").mapInArrow(_learnt(rates), "place int, weight double").collect()
+    weights = {r.place: r.weight for r in found}
+    return weights.pop(-1, 0.0), dict(sorted(weights.items()))
 
 
 def _scored(bias: float, weights: dict[int, float]):
