@@ -69,3 +69,12 @@ def test_deep_paths_and_their_case(spark):
     entries = [("L", "path", "h.com/a/b/c/d", "deny", day, "add"), ("L", "path", "H.com/Forum", "deny", day, "add")]
     got = U.judge_captures(spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp"), spark.createDataFrame(entries, ENTRIES)).collect()
     assert {r.page_id: r.matched_key for r in got} == {0: "path:h.com/a/b/c/d", 1: None, 2: "path:h.com/Forum", 3: None}
+
+
+def test_columns_that_clash_with_its_own(spark):
+    rows = [(1, "http://a.example.com/x", START, 9, "k", "l"), (1, "http://a.example.com/x", START, 9, "k", "l"), (2, None, None, None, None, None)]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp, n int, key string, list string")
+    entries = spark.createDataFrame([("bad", "domain", "example.com", "deny", START - timedelta(days=3), "add")], ENTRIES)
+    got = U.judge_captures(captures, entries)
+    assert got.columns == [*captures.columns, "verdict", "matched_key", "matched_list", "n_active"]
+    assert sorted((r.page_id, r.n, r.verdict, r.matched_key, r.n_active) for r in got.collect()) == [(1, 9, "deny", "domain:example.com", 1)] * 2 + [(2, None, "none", None, 0)]

@@ -25,6 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tiergraph.llm._common import write_scratch
+
+#: A list's keys are broadcast up to so many (some 10 MB), to sift captures; beyond that the join alone does.
+SMALL_ROWS = 100_000
+
 
 def url_host(url: Column) -> Column:
     """The host of an http(s) URL, in lower case, without user, port and trailing dot; null if there is none."""
@@ -73,10 +78,13 @@ def judge_captures(captures: DataFrame, entries: DataFrame, *, url_col: str = "u
     last = looked.agg(F.max("__at")).first()[0]  # one value: how far open intervals reach
     spans = list_intervals(entries).where(F.col("since") <= F.lit(last)).withColumn("end", F.least(F.coalesce("until", F.lit(last)), F.lit(last)))
     monthly = spans.select("list", "key", "action", "since", "until", F.explode(F.sequence(F.trunc("since", "MM"), F.trunc("end", "MM"), F.expr("interval 1 month"))).alias("month"))
+    #: Keys that no list has, such as a top-level domain, stay where they are instead of meeting in one task.
+    listed = write_scratch(spans.select("key").distinct(), "listed")
+    keys = keys.join(F.broadcast(listed), "key", "left_semi") if listed.count() <= SMALL_ROWS else keys
     met = keys.join(monthly, ["key", "month"]).where((F.col("__at") >= F.col("since")) & (F.col("until").isNull() | (F.col("__at") < F.col("until"))))
     first = F.struct((-F.col("rank")).alias("rank"), F.when(F.col("action") == "deny", 0).otherwise(1).alias("deny"), F.col("key"), F.col("list"))
-    judged = met.groupBy("__url", "__at").agg(F.min(F.struct(first.alias("first"), F.col("action"))).alias("m"), F.count("*").alias("n"))
-    found = judged.select("__url", "__at", F.col("m.action").alias("__verdict"), F.col("m.first.key").alias("__key"), F.col("m.first.list").alias("__list"), "n")
+    judged = met.groupBy("__url", "__at").agg(F.min(F.struct(first.alias("first"), F.col("action"))).alias("m"), F.count("*").alias("__n"))
+    found = judged.select("__url", "__at", F.col("m.action").alias("__verdict"), F.col("m.first.key").alias("__key"), F.col("m.first.list").alias("__list"), "__n")
     rows = captures.withColumns({"__own_url": F.col(url_col), "__own_at": F.col(time_col).cast("timestamp")})
     out = rows.join(found, (F.col("__own_url") == F.col("__url")) & (F.col("__own_at") == F.col("__at")), "left")
-    return out.select(*captures.columns, F.coalesce("__verdict", F.lit("none")).alias("verdict"), F.col("__key").alias("matched_key"), F.col("__list").alias("matched_list"), F.coalesce("n", F.lit(0).cast("long")).alias("n_active"))
+    return out.select(*captures.columns, F.coalesce("__verdict", F.lit("none")).alias("verdict"), F.col("__key").alias("matched_key"), F.col("__list").alias("matched_list"), F.coalesce("__n", F.lit(0).cast("long")).alias("n_active"))
