@@ -1,3 +1,4 @@
+import hashlib
 import random
 from datetime import datetime
 
@@ -111,7 +112,12 @@ def test_vectors(spark):
     assert set(vectors.density_clusters(np.vstack([np.repeat(np.eye(3)[:2], 6, axis=0), [[0, 0, 1.0]]])).tolist()) == {0, 1, -1}
     agree = np.array([[(i < 3) == (j < 3) for j in range(6)] for i in range(6)])
     assert len(set(vectors.signed_spectral(np.ones((6, 6)), agree, 2)[:3].tolist())) == 1
-    assert abs(np.linalg.norm(vectors.hash_embed("x")) - 1) < 1e-9
+    #: The nearest mean decides, not the first group that is near enough.
+    a, b, c = np.array([1.0, 0.0]), np.array([0.6, 0.8]), np.array([0.8, 0.6])
+    assert vectors.greedy_groups([a, b, c], 0.7) == [[0], [1, 2]]
+    found = vectors.hash_embed(" x ", 8)
+    words = np.array([int.from_bytes(hashlib.sha256(b"x").digest()[4 * i : 4 * i + 4], "big") for i in range(8)]) / 2**32 * 2 - 1
+    assert np.allclose(found, words / np.linalg.norm(words)) and abs(np.linalg.norm(vectors.hash_embed("x")) - 1) < 1e-9
 
 
 def test_resolution(spark):
@@ -123,8 +129,10 @@ def test_resolution(spark):
     assert [(r.id, r.entity_id) for r in found] == []  # misspelt words don't block
     found = resolution.scan_long_aliases(spark.createDataFrame([(1, "that ohio, state univ. is a university")], "id long, t string"), aliases, id_col="id", text_col="t").collect()
     assert [(r.id, r.entity_id) for r in found] == [(1, "e2")] or found == []
-    names = {a for a, _ in resolution.aliases_of("Harvard School of Dental Medicine, Boston")}
-    assert {"Harvard", "Harvard School of Dental Medicine", "HSDMB"} <= names
+    named = spark.createDataFrame([("h", "Harvard School of Dental Medicine, Boston"), ("u", "UCLA School of Dentistry"), ("t", "TUFTS"), ("n", None)], "id string, name string")
+    found = {(r.entity_id, r.alias): r.how for r in resolution.expand_aliases(named, "id", "name").collect()}
+    assert {("h", "Harvard"): "pattern", ("h", "Harvard School of Dental Medicine"): "first_phrase", ("h", "HSDMB"): "acronym"}.items() <= found.items()
+    assert found["u", "UCLA"] == "stripped_tail" and ("t", "TUFTS") not in found and sum(e == "u" and a.lower() == "ucla" for e, a in found) == 1
     sib = resolution.siblings(spark.createDataFrame([("i", "University of Iowa")], "id string, name string"), spark.createDataFrame([("s", "University of Iowa College of Dentistry"), ("t", "Ohio College")], "id string, name string")).collect()
     assert [(r.institution_id, r.school_id) for r in sib] == [("i", "s")]
     table = spark.createDataFrame([("ui", "s1", "school", "Iowa", 0.2), ("ui", "i1", "institution", "Illinois", 0.5), ("one", "s9", "school", None, 0.1)], "alias string, entity_id string, entity_type string, state string, prior double")
@@ -177,6 +185,30 @@ def test_dumps(spark):
     dump = ["-- x", "COPY public.school (id, name) FROM stdin;", "1\tA\\tb", "2\t\\N", "\\.", "COPY t (a) FROM stdin;", "z", "\\."]
     blocks = connectors.copy_blocks(spark.createDataFrame(list(enumerate(dump)), "at int, line string"))
     assert [r["values"] for r in connectors.block_table(blocks, "school").orderBy("row").collect()] == [{"id": "1", "name": "A\tb"}, {"id": "2", "name": None}]
+    escaped = spark.createDataFrame([(r"C:\\temp",), (r"a\\\tb",), (r"\x\N",), (r"\N",)], "f string").select(connectors.unescaped(F.col("f"))).collect()
+    assert [r[0] for r in escaped] == ["C:\\temp", "a\\\tb", "xN", None]
+
+
+def test_dumps_over_stretches_of_lines(spark, monkeypatch):
+    monkeypatch.setattr(connectors, "LINES", 3)
+    dump = ["-- x", "COPY s (id) FROM stdin;", *map(str, range(10)), "\\.", "noise", "COPY t (a) FROM stdin;", "z", "\\."]
+    blocks = connectors.copy_blocks(spark.createDataFrame(list(enumerate(dump)), "at int, line string")).orderBy("row").collect()
+    assert [(r.table, r.fields) for r in blocks] == [("s", [str(i)]) for i in range(10)] + [("t", ["z"])]
+
+
+def test_bootstrap_and_resonance(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"g{g}", t, bool(rng.random() < 0.3 + 0.4 * (t % 2)), f"a{t % 7}", float(t)) for g in range(2) for t in range(60) for _ in range(5)]
+    frame = spark.createDataFrame(rows, "g string, thread_id long, hit boolean, author string, score double")
+    for parts in (1, 6):
+        got = {r.g: r for r in stats.cluster_bootstrap(frame.repartition(parts), ["g"], "thread_id", "hit", b=400).collect()}
+        for g, r in got.items():
+            sums = np.array([sum(x[2] for x in rows if x[0] == g and x[1] == t) for t in range(60)])
+            drawn = [s.sum() / 300 for s in (sums[rng.integers(0, 60, 60)] for _ in range(4000))]
+            assert r.n == 300 and r.n_threads == 60 and abs(r.point - sums.sum() / 300) < 1e-4
+            assert abs(r.lo - np.quantile(drawn, 0.025)) < 0.03 and abs(r.hi - np.quantile(drawn, 0.975)) < 0.03 and r.deff > 1
+    found = {r.g: r for r in stats.resonance(frame, ["g"]).collect()}
+    assert (found["g0"].distinct_authors, found["g0"].n_threads, found["g0"].n_docs, found["g0"].median_score, found["g0"].author_share) == (7, 60, 300, 29.5, 1.0)
 
 
 def test_web(spark):

@@ -56,6 +56,8 @@ JUNK_PREFIXES = (
     "deleted", "any pre-dental", "all pre-dental", "questions should be directed", "this is an automated", "all questions about", "welcome to r/",
 )
 MIN_REPLY, MIN_TEXT = 20, 15
+#: Vectors of a blocklist that are broadcast at once, some 10 MB.
+BLOCK = 4000
 
 
 def utility_reason(text: Column, author: Column, is_reply: Column, *, is_crosspost: Column | None = None, duplicate_of: Column | None = None, mentions_entity: Column | None = None) -> Column:
@@ -65,7 +67,7 @@ def utility_reason(text: Column, author: Column, is_reply: Column, *, is_crosspo
     bot = author.rlike("|".join(BOT_NAMES))
     copied = F.lit(False) if is_crosspost is None or duplicate_of is None else is_crosspost & duplicate_of.isNotNull()
     question = trimmed.rlike(r"\?\s*$")
-    opinion = F.arrays_overlap(F.regexp_extract_all(F.lower(trimmed), F.lit("[a-z]+"), F.lit(0)), F.array(*map(F.lit, SENTIMENT_MARKERS)))
+    opinion = F.lower(trimmed).rlike("|".join(SENTIMENT_MARKERS))  # anywhere, also within words: "loved" counts
     return (
         F.when(author.isNull(), "no_author_deleted_or_removed")
         .when(bot, "bot_author")
@@ -88,7 +90,8 @@ def is_junk(text: Column, author: Column) -> Column:
 def blocklist(rows: DataFrame, text_col: str, blocked: DataFrame, pattern_col: str, *, vectors: tuple[str, str] | None = None, limit: float = 0.92) -> DataFrame:
     """Drops rows whose canonical text is blocked, and with ``vectors`` those too similar to a blocked pattern.
 
-    A blocklist is a curated table; its size is checked before it is broadcast for the similarity.
+    Patterns are a stated set that all rows are held against: in blocks of ``BLOCK``, each broadcast, and each
+    sifting what those before it left.
     """
     canonical = lambda c: F.lower(F.trim(c))
     exact = blocked.select(canonical(F.col(pattern_col)).alias("__blocked")).distinct()
@@ -97,7 +100,9 @@ def blocklist(rows: DataFrame, text_col: str, blocked: DataFrame, pattern_col: s
         return kept
     from tiergraph.operators.vectors import cosine
 
-    patterns = blocked.select(F.col(vectors[1]).alias("__pattern")).where("__pattern is not null")
-    if (n := patterns.count()) > 10_000:
-        raise ValueError(f"a blocklist of {n} patterns is no longer curated; block by key first")
-    return kept.join(F.broadcast(patterns), cosine(F.col(vectors[0]), F.col("__pattern")) > limit, "left_anti")
+    patterns = blocked.select(F.col(vectors[1]).alias("__pattern")).where("__pattern is not null").distinct()
+    blocks = -(-patterns.count() // BLOCK)
+    for i in range(blocks):
+        block = patterns.where(F.pmod(F.xxhash64("__pattern"), F.lit(blocks)) == i)
+        kept = kept.join(F.broadcast(block), cosine(F.col(vectors[0]), F.col("__pattern")) > limit, "left_anti")
+    return kept

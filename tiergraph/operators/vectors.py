@@ -56,12 +56,11 @@ def share(rows: DataFrame, by: str, *, digits: int = 4) -> DataFrame:
 
 
 def hash_embed(text: str, dims: int = 384) -> np.ndarray:
-    """A deterministic unit vector: a chain of SHA-256 digests of the text, bytes scaled to [-1, 1]."""
-    out, seed = b"", text.encode()
-    while len(out) < dims:
-        seed = hashlib.sha256(seed).digest()
-        out += seed
-    v = np.frombuffer(out[:dims], np.uint8).astype(np.float64) / 127.5 - 1.0
+    """A deterministic unit vector: 32-bit words of a chain of SHA-256 digests of the trimmed text, scaled to [-1, 1)."""
+    chain = [hashlib.sha256((text or "").strip().encode()).digest()]
+    while len(chain) * 8 < dims:
+        chain.append(hashlib.sha256(chain[-1]).digest())
+    v = np.frombuffer(b"".join(chain), ">u4")[:dims] / 2.0**31 - 1.0
     return v / (np.linalg.norm(v) or 1.0)
 
 
@@ -116,15 +115,18 @@ def kmeans_scale(vectors: DataFrame, vec_col: str, *, k: int = 12, seed: int = 4
 
 
 def greedy_groups(vectors: list[np.ndarray], sim: float) -> list[list[int]]:
-    """One pass: each vector joins the first group whose first member is similar enough, or opens one."""
+    """One pass: each unit vector joins the group whose mean direction is nearest, if that is similar enough, or opens one. Of equals the latest group wins."""
     groups: list[list[int]] = []
+    sums = np.empty((0, len(vectors[0]) if len(vectors) else 0))
     for i, v in enumerate(vectors):
-        for g in groups:
-            if float(v @ vectors[g[0]]) >= sim:
-                g.append(i)
-                break
+        near = (sums @ v) / np.maximum(np.linalg.norm(sums, axis=1), 1e-9)
+        if len(near) and near.max() >= sim:
+            own = int(np.flatnonzero(near == near.max())[-1])
+            groups[own].append(i)
+            sums[own] += v
         else:
             groups.append([i])
+            sums = np.vstack([sums, v])
     return groups
 
 

@@ -67,19 +67,22 @@ def clean_pool(ranked: DataFrame, docs: DataFrame, *, cap: int) -> DataFrame:
 def analyse(items: DataFrame, *, b: int = 1000, seed: int = 0) -> dict[str, DataFrame]:
     """What the protocols share: buckets with intervals, denominators, resonance, consensus, trends by year, shares by cohort."""
     total = items.count()
-    buckets = items.select("bucket").distinct()
-    #: A row a document and bucket: whether it is in it. Buckets are a question's positions, a handful.
-    if (n := buckets.count()) > 100:
-        raise ValueError(f"{n} buckets are no longer a question's positions")
-    crossed = items.select("thread_id", "year", F.col("bucket").alias("__own")).join(F.broadcast(buckets)).withColumn("hit", F.col("__own") == F.col("bucket"))
-    intervals = stats.cluster_bootstrap(crossed, ["bucket"], "thread_id", "hit", b=b, seed=seed)
-    counts = items.groupBy("bucket").agg(F.count("*").alias("n_docs"), F.countDistinct("author").alias("distinct_authors"), F.countDistinct("thread_id").alias("n_threads"), F.percentile("score", 0.5).alias("median_score"))
-    years = crossed.where("year is not null").groupBy("bucket", "year").agg(F.sum(F.col("hit").cast("long")).alias("k"), F.count("*").alias("n")).where(F.col("n") >= LEAST_YEAR)
+    #: Numerators by bucket, denominators by thread or year: no document meets the buckets that it isn't in.
+    threads = items.groupBy("thread_id").agg(F.count("*").alias("n"))
+    hits = items.groupBy("bucket", "thread_id").agg(F.count("*").alias("n"))
+    drawn = lambda rows, by: stats.replicates(rows, by, "thread_id", "n", b=b, seed=seed)
+    shared = stats.intervals(drawn(hits, ["bucket"]), drawn(threads, []), ["bucket"], [])
+    counts = stats.resonance(items, ["bucket"])
+    dated = items.where("year is not null")
+    sizes_by_year = dated.groupBy("year").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_YEAR)
+    known = dated.groupBy("bucket", "year").agg(F.count("*").alias("k"))
+    #: A year in which a bucket has no document counts as well.
+    years = known.select("bucket").distinct().join(F.broadcast(sizes_by_year)).join(known, ["bucket", "year"], "left").select("bucket", "year", F.coalesce("k", F.lit(0)).alias("k"), "n")
     cohorts = items.groupBy("cohort", "bucket").agg(F.count("*").alias("n"))
     sizes = cohorts.groupBy("cohort").agg(F.sum("n").alias("size")).where(F.col("size") >= LEAST_COHORT)
     shares = share(items, "bucket")
     return {
-        "buckets": intervals.drop("n", "n_threads").join(counts, "bucket").join(shares.select("bucket", "fraction"), "bucket"),
+        "buckets": shared.drop("n", "n_threads").join(counts, "bucket").join(shares.select("bucket", "fraction"), "bucket"),
         "consensus": shares.agg(stats.consensus_index(F.collect_list(F.col("n").cast("double"))).alias("c")).select("c.*", F.lit(total).alias("denominator")),
         "trend": stats.trend(years, ["bucket"], "year", "k", "n"),
         "cohorts": cohorts.join(sizes, "cohort").select("cohort", "bucket", "n", F.round(F.col("n") / F.col("size"), 4).alias("fraction")),

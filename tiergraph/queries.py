@@ -257,7 +257,7 @@ def q19(spark, d):
 # Filters and text
 
 
-@query("q20_utility_filter", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN role = 'system' THEN 'no_author_deleted_or_removed' WHEN turn > 0 AND length(trim(text)) < 20 THEN 'very_short_reply_no_entity' WHEN NOT regexp_matches(trim(text), '\\?\\s*$') AND NOT list_has_any(regexp_extract_all(lower(trim(text)), '[a-z]+'), ['good', 'bad', 'great', 'awful', 'love', 'hate', 'best', 'worst', 'recommend', 'avoid', 'amazing', 'terrible']) THEN 'generic_no_entity_no_question_no_sentiment' ELSE 'kept' END AS reason FROM conversations) GROUP BY 1")
+@query("q20_utility_filter", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN role = 'system' THEN 'no_author_deleted_or_removed' WHEN turn > 0 AND length(trim(text)) < 20 THEN 'very_short_reply_no_entity' WHEN NOT regexp_matches(trim(text), '\\?\\s*$') AND NOT list_bool_or(list_transform(['good', 'bad', 'great', 'awful', 'love', 'hate', 'best', 'worst', 'recommend', 'avoid', 'amazing', 'terrible'], lambda m: contains(lower(trim(text)), m))) THEN 'generic_no_entity_no_question_no_sentiment' ELSE 'kept' END AS reason FROM conversations) GROUP BY 1")
 def q20(spark, d):
     reason = filters.utility_reason(F.col("text"), F.when(F.col("role") != "system", F.col("role")), F.col("turn") > 0)
     return t(spark, d, "conversations").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))

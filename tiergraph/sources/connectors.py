@@ -123,17 +123,38 @@ def register_dump(files: DataFrame, known: DataFrame, tier: str) -> DataFrame:
     return found.select(dump_id(F.lit(tier), F.col("h")).alias("dump_id"), "n_files").join(known, "dump_id", "left_anti")
 
 
+#: Lines of a dump that meet in one task.
+LINES = 1_000_000
+# What follows a backslash in a dump, and what it stands for; any other character stands for itself.
+ESCAPES = {"t": "\t", "n": "\n", "r": "\r", "b": "\b", "f": "\f", "v": "\v"}
+
+
+def unescaped(field: Column) -> Column:
+    """A field of a text dump: \\N is null, and each backslash is read with the character after it, once."""
+    held = F.replace(field, F.lit("\\\\"), F.lit("\0"))  # a dump can't hold NUL: it keeps the place of escaped backslashes
+    for letter, stands_for in ESCAPES.items():
+        held = F.replace(held, F.lit("\\" + letter), F.lit(stands_for))
+    plain = F.replace(F.regexp_replace(held, r"\\(.)", "$1"), F.lit("\0"), F.lit("\\"))
+    return F.when(field != r"\N", plain)
+
+
 def copy_blocks(lines: DataFrame) -> DataFrame:
     """(table, columns, row, fields) of the COPY ... FROM stdin blocks of a text dump. lines: at, line of one file, in order.
 
-    \\N is null; \\t, \\n and \\\\ are unescaped.
+    Lines meet in stretches of ``LINES``; what a stretch starts in is carried from the last head before it.
     """
-    order = Window.orderBy("at")  # one dump file, whose blocks only their order tells
+    stretch = F.floor(F.col("at") / LINES)
+    inside = Window.partitionBy("__stretch").orderBy("at")
+    before = Window.orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
     head = F.regexp_extract("line", r"^COPY ([^ (]+) *\((.*)\) FROM stdin;", 1)
-    marked = lines.withColumn("__head", F.when(F.col("line").rlike("^COPY .* FROM stdin;"), F.struct(head.alias("t"), F.regexp_extract("line", r"\((.*)\)", 1).alias("c"))).when(F.col("line") == r"\.", F.struct(F.lit("").alias("t"), F.lit("").alias("c"))))
-    inside = marked.withColumn("__in", F.last("__head", ignorenulls=True).over(order)).where("__head is null and __in.t <> ''")
-    value = lambda f: F.when(f != r"\N", F.replace(F.replace(F.replace(f, F.lit(r"\t"), F.lit("\t")), F.lit(r"\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\")))
-    return inside.select(F.regexp_replace("__in.t", r"^.*\.", "").alias("table"), F.split("__in.c", r",\s*").alias("columns"), F.col("at").alias("row"), F.transform(F.split("line", "\t"), value).alias("fields"))
+    opened = F.struct(head.alias("t"), F.regexp_extract("line", r"\((.*)\)", 1).alias("c"))
+    closed = F.struct(F.lit("").alias("t"), F.lit("").alias("c"))
+    marked = lines.withColumn("__stretch", stretch).withColumn("__head", F.when(F.col("line").rlike(r"^COPY .* FROM stdin;"), opened).when(F.col("line") == r"\.", closed))
+    last = marked.groupBy("__stretch").agg(F.max_by("__head", F.when(F.col("__head").isNotNull(), F.col("at"))).alias("__last"))
+    carried = last.select("__stretch", F.last("__last", ignorenulls=True).over(before).alias("__carried"))
+    known = marked.withColumn("__own", F.last("__head", ignorenulls=True).over(inside)).join(carried, "__stretch").withColumn("__in", F.coalesce("__own", "__carried"))
+    rows = known.where("__head is null and __in.t <> ''")
+    return rows.select(F.regexp_replace("__in.t", r"^.*\.", "").alias("table"), F.split("__in.c", r",\s*").alias("columns"), F.col("at").alias("row"), F.transform(F.split("line", "\t"), unescaped).alias("fields"))
 
 
 def block_table(blocks: DataFrame, table: str) -> DataFrame:

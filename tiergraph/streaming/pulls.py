@@ -7,15 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tiergraph.runtime import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    import tempfile
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tiergraph-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def fresh_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def pull_available(spark: SparkSession, path: str, *, keys: list[str], target: str | None = None, watermark: tuple[str, str] | None = None) -> DataFrame:
@@ -24,7 +20,7 @@ def pull_available(spark: SparkSession, path: str, *, keys: list[str], target: s
     A second pull into the same target reads new files alone. With ``watermark`` (column, delay) the state of
     the keys stays bounded.
     """
-    target = target or shared_folder(spark)
+    target = target or fresh_folder(spark)
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rstrip("/").rpartition("/")
     single = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").limit(1).first()
