@@ -76,5 +76,14 @@ def test_nulls_ties_repeats_and_clashing_names(spark):
 
 
 def test_hash_is_the_first_sixty_bits_of_md5(spark):
-    want = int(hashlib.md5(b"17").hexdigest()[:15], 16)
-    assert spark.range(17, 18).select(M.id_hash(__import__("pyspark").sql.functions.col("id"))).first()[0] == want
+    want = int(hashlib.md5(b"17 x y").hexdigest()[:15], 16)
+    frame = spark.createDataFrame([(17, "x y")], "id long, t string")
+    assert frame.select(M.row_hash(frame.id, frame.t)).first()[0] == want
+
+
+def test_rows_that_share_an_id_are_told_apart_by_their_texts(spark):
+    rows = [(7, f"w{i} " + "w " * (i % 40), "a" if i % 4 else "b") for i in range(400)]
+    got = M.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    size, total, target = brute(rows)
+    for s in total:
+        assert abs(sum(r.taken for r in got if r.source == s) - target[s]) <= 41

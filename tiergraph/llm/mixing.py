@@ -1,6 +1,6 @@
 """Mixing sources to target weights: hash-threshold histograms.
 
-Every document gets a 60-bit hash of its id. A source whose target is a part
+Every document gets a 60-bit hash of its id and text. A source whose target is a part
 of its size takes the documents below a hash threshold; whole multiples are
 taken as whole passes. The threshold comes from nested histograms: words are
 summed by source and hash bucket, the bucket in which the budget runs out is
@@ -8,7 +8,7 @@ found per source, and only that bucket is summed again in finer buckets. No
 document is sorted, and nothing but per-source rows leaves the executors.
 
 Defined results: a null text has size 0; a null source is a source of its own,
-last in order; rows that share an id share their hash, so they are taken or
+last in order; rows that share id and text share their hash, so they are taken or
 left together; an empty table gives an empty result; columns beyond those named
 by the parameters are ignored.
 """
@@ -24,9 +24,9 @@ HASH_BITS = 60
 LEVEL_BITS = 12
 
 
-def id_hash(doc_id: Column) -> Column:
-    """The first 60 bits of the MD5 of the id as text (null: of nothing)."""
-    hexed = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, HASH_BITS // 4)
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """The first 60 bits of the MD5 of the id as text, a space, and the text (null: nothing)."""
+    hexed = F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(" "), F.coalesce(text, F.lit("")))), 1, HASH_BITS // 4)
     return F.conv(hexed, 16, 10).cast("long")
 
 
@@ -68,6 +68,7 @@ def hash_thresholds(skinny: DataFrame, targets: DataFrame) -> DataFrame:
         sums = sums.withColumn("upto", F.sum("in_bucket").over(running))
         over = sums.join(found, F.col("source").eqNullSafe(F.col("s"))).where(F.col("upto") > F.col("rest"))
         found = over.groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("in_bucket")).alias("rest"), "in_bucket"), "bucket").alias("b")).select(F.col("source").alias("s"), F.col("b.bucket").alias("prefix"), F.col("b.rest").alias("rest"), F.col("b.in_bucket").alias("last"))
+        found = write_scratch(found, f"level{level}")  # a row a source; else each level would be planned and run again by the next
     #: What is left is one hash value a source; it counts when more than half of it fits.
     return found.select(F.col("s").alias("source"), (F.col("prefix") + F.when(F.col("rest") * 2 >= F.col("last"), 1).otherwise(0)).alias("threshold"))
 
@@ -79,7 +80,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), max_re
     share the total size; a source's target stops at ``max_repeat`` times its size
     and the excess is shared again by weight.
     """
-    skinny = write_scratch(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("hash")), "sizes")
+    skinny = write_scratch(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), row_hash(F.col(id_col), F.col(text_col)).alias("hash")), "sizes")
     targets = write_scratch(source_targets(skinny.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat), "targets")
     plan = targets.select("source", "source_size", "target", "passes").alias("t").join(hash_thresholds(skinny, targets).alias("h"), F.col("t.source").eqNullSafe(F.col("h.source")), "left")
     plan = write_scratch(plan.select(F.col("t.source").alias("s"), "source_size", "target", "passes", F.coalesce("threshold", F.lit(0).cast("long")).alias("threshold")), "plan")
@@ -91,7 +92,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), max_re
 MIX_SQL = r"""
 WITH skinny AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS hash
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || coalesce(text, '')), 1, 15) AS BIGINT) AS hash
   FROM {documents}),
 ranked AS (
   SELECT source, source_size, [5, 2, 1][(rank - 1) % 3 + 1] AS weight, 3 * source_size AS cap, rank
