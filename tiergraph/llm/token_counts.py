@@ -153,9 +153,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, cache_path: str | None
     ids = texts.select("doc_id", "digest")
     #: Of equal texts the one with the least row key is encoded; only keys are grouped, never texts.
     keyed = texts.withColumn("row", F.xxhash64(F.col("doc_id").cast("string")))
-    misses = keyed.join(cache(), "digest", "left_anti") if cache_path else keyed
+    keys = keyed.select("digest", "row")
+    misses = keys.join(cache().select("digest"), "digest", "left_anti") if cache_path else keys
     chosen = misses.groupBy("digest").agg(F.min("row").alias("row"))
-    todo = misses.join(chosen.hint("shuffle_hash"), ["digest", "row"], "left_semi").select("digest", "text", F.octet_length("text").cast("long").alias("n_bytes"))
+    todo = keyed.join(chosen.hint("shuffle_hash"), ["digest", "row"], "left_semi").select("digest", "text", F.octet_length("text").cast("long").alias("n_bytes"))
     todo.mapInArrow(_counts(tokenizer_path), "digest string, n_bytes long, n_tokens long").select(F.lit(version).alias("tokenizer"), "digest", "n_bytes", "n_tokens").write.mode("append").parquet(path)
     #: Written, so that the join may split a digest that copies make frequent.
     return ids.join(write_scratch(cache(), "counts"), "digest").select("doc_id", "digest", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
