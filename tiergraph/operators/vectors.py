@@ -157,3 +157,17 @@ def density_clusters(mat: np.ndarray, min_size: int = 5, radius: float = 0.35) -
                     todo += np.flatnonzero(near[j] & (labels < 0)).tolist()
         now += 1
     return labels
+
+
+def _signature(centroid: Column, dims: int, digits: int) -> Column:
+    return F.array_join(F.transform(F.slice(centroid, 1, dims), lambda v: F.concat(F.format_string(f"%.{digits}f", v), F.lit("|"))), "")
+
+
+def cluster_id(centroid: Column, label: Column) -> Column:
+    """A cluster's lasting id: the digest of its centroid's first eight numbers and its label, whatever the case."""
+    return F.concat(F.lit("cluster:"), F.substring(F.sha2(F.concat(_signature(centroid, 8, 6), F.lower(label)), 256), 1, 16))
+
+
+def cluster_key(centroid: Column, samples: Column) -> Column:
+    """What a cluster's label is cached under: the digest of its centroid and its sample texts, in any order."""
+    return F.sha2(F.concat(_signature(centroid, 16, 4), F.array_join(F.array_sort(samples), "")), 256)

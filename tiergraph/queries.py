@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiergraph.functions import scoring, stats, text, url
-from tiergraph.model import tier_ordinal
-from tiergraph.operators import conflict, dashboards, filters, graph, retrieval, vectors
+from tiergraph.model import make_nodes, tier_ordinal
+from tiergraph.operators import conflict, dashboards, filters, graph, recall, retrieval, vectors
+from tiergraph.operators.lexical_index import LexicalIndex, build_index
 from tiergraph.plans.synthetic import CLAIMS_SQL, EDGES_SQL, NODES_SQL, claims, edges, key, nodes, t
+from tiergraph.runtime import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -277,12 +279,23 @@ def q22(spark, d):
     return retrieval.census(t(spark, d, "documents"), QUESTION, "text", "source")
 
 
+_INDEXES: dict[tuple[str, str], LexicalIndex] = {}
+
+
+def lexical_index(spark: SparkSession, d: str) -> LexicalIndex:
+    """The index of a folder's documents: built by the first query of a session that asks, as an index is, and read by all."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _INDEXES:
+        _INDEXES[at] = build_index(t(spark, d, "documents"), scratch_path(spark, "index"), id_col="doc_id", text_col="text")
+    return _INDEXES[at]
+
+
 POSTINGS_SQL = f"p AS (SELECT doc_id, {TOKENS_SQL} AS t FROM documents), h AS (SELECT doc_id, len(t) AS length, term, len(list_filter(t, lambda x: x = term)) AS tf FROM p, unnest(['blehe', 'inst', 'reed', 'the']) u(term))"
 
 
 @query("q23_bm25", f"WITH {POSTINGS_SQL}, k AS (SELECT * FROM h WHERE tf > 0), n AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM p), df AS (SELECT term, count(*) AS df FROM k GROUP BY 1) SELECT doc_id AS id, round(sum(greatest(1e-6, ln((docs - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM k JOIN df USING (term), n GROUP BY 1")
 def q23(spark, d):
-    return retrieval.bm25(t(spark, d, "documents"), QUESTION, id_col="doc_id", text_col="text")
+    return lexical_index(spark, d).bm25(QUESTION)
 
 
 TFIDF_SQL = r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS t FROM documents),
@@ -295,7 +308,7 @@ s AS (SELECT doc_id AS id, round(sum(w * qw) / (sqrt(sum(w * w)) * any_value(qno
 
 @query("q24_tfidf", f"WITH {TFIDF_SQL} SELECT * FROM s")
 def q24(spark, d):
-    return retrieval.tfidf_scores(t(spark, d, "documents"), QUESTION, id_col="doc_id", text_col="text")
+    return lexical_index(spark, d).tfidf(QUESTION)
 
 
 AXIS = [((i * 37) % 11 - 5) / 10 for i in range(64)]
@@ -485,6 +498,118 @@ def q47b(spark, d):
     return found.groupBy("page_id").agg(F.count("*").alias("n_links"), F.countDistinct("target").alias("n_targets"))
 
 
+@query("q23b_bm25_scan", f"WITH {POSTINGS_SQL}, k AS (SELECT * FROM h WHERE tf > 0), n AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM p), df AS (SELECT term, count(*) AS df FROM k GROUP BY 1) SELECT doc_id AS id, round(sum(greatest(1e-6, ln((docs - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM k JOIN df USING (term), n GROUP BY 1")
+def q23b(spark, d):
+    return retrieval.bm25(t(spark, d, "documents"), QUESTION, id_col="doc_id", text_col="text")
+
+
+@query("q24b_tfidf_scan", f"WITH {TFIDF_SQL} SELECT * FROM s")
+def q24b(spark, d):
+    return retrieval.tfidf_scores(t(spark, d, "documents"), QUESTION, id_col="doc_id", text_col="text")
+
+
+# Plans and recall
+
+
+METRICS_SQL = "m AS (SELECT s_suppkey::VARCHAR AS school_id, s_name AS name, s_acctbal AS max_tuition, count(l_orderkey) AS n_comments, round(count(*) FILTER (l_returnflag = 'R') / nullif(count(l_orderkey), 0)::DOUBLE, 6) AS pos_frac FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL)"
+
+
+def metrics(spark, d):
+    """Suppliers as schools: a price, and how many lines speak of them, which share of these well."""
+    spoken = t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n_comments"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("well"))
+    joined = t(spark, d, "supplier").join(spoken, "s_suppkey", "left")
+    return joined.select(F.col("s_suppkey").cast("string").alias("school_id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("max_tuition"), F.coalesce("n_comments", F.lit(0).cast("long")).alias("n_comments"), F.round(F.col("well") / F.col("n_comments"), 6).alias("pos_frac"))
+
+
+TUITION_SQL = "(SELECT * FROM m WHERE max_tuition IS NOT NULL ORDER BY max_tuition ASC, school_id LIMIT 30)"
+REGARD_SQL = "(SELECT * FROM m WHERE pos_frac IS NOT NULL AND n_comments >= 50 ORDER BY pos_frac DESC, school_id LIMIT 50)"
+
+
+@query("q79_plan_intersect", f"WITH {METRICS_SQL}, a AS {TUITION_SQL}, b AS {REGARD_SQL}, k AS (SELECT a.* FROM a SEMI JOIN b USING (school_id)) SELECT row_number() OVER (ORDER BY max_tuition, school_id) AS place, * FROM k QUALIFY place <= 15")
+def q79(spark, d):
+    from tiergraph.plans.planner import execute_plan, plan_query
+
+    return execute_plan(plan_query("cheapest schools that applicants also like"), metrics(spark, d)).withColumn("place", F.col("place").cast("long"))
+
+
+@query("q79b_plan_lone", f"WITH {METRICS_SQL}, b AS (SELECT * FROM m WHERE pos_frac IS NOT NULL AND n_comments >= 50 ORDER BY pos_frac, school_id LIMIT 15) SELECT row_number() OVER (ORDER BY pos_frac, school_id) AS place, * FROM b")
+def q79b(spark, d):
+    from tiergraph.plans.planner import execute_plan, plan_query
+
+    return execute_plan(plan_query("worst reviewed schools"), metrics(spark, d)).withColumn("place", F.col("place").cast("long"))
+
+
+@query("q79c_plan_union", f"WITH {METRICS_SQL}, a AS (SELECT * FROM m ORDER BY max_tuition DESC, school_id LIMIT 7), b AS (SELECT * FROM m WHERE n_comments >= 50 ORDER BY pos_frac, school_id LIMIT 9), k AS (SELECT * FROM a UNION SELECT * FROM b) SELECT row_number() OVER (ORDER BY max_tuition DESC, school_id) AS place, * FROM k QUALIFY place <= 15")
+def q79c(spark, d):
+    from tiergraph.plans.planner import execute_plan, parsed_plan
+
+    plan = parsed_plan('so: {"ops": [{"op": "rank_tuition", "order": "desc", "k": 7}, {"op": "rank_sentiment", "order": "asc", "k": 9}, {"op": "none"}], "combine": "union", "sort_by": "tuition"}')
+    return execute_plan(plan, metrics(spark, d)).withColumn("place", F.col("place").cast("long"))
+
+
+@query("q80_canonical_subjects", "WITH said AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'school:' || o_custkey WHEN 1 THEN c_name WHEN 2 THEN ' ' || upper(c_name) || ' ' ELSE 'nobody ' || o_custkey END AS subject_id FROM orders JOIN customer ON c_custkey = o_custkey), a AS (SELECT c_name, min('customer|' || c_custkey) AS id FROM customer GROUP BY 1) SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (1, 2) THEN id ELSE subject_id END AS subject_id FROM said LEFT JOIN a ON lower(trim(subject_id)) = lower(c_name)")
+def q80(spark, d):
+    customers = t(spark, d, "customer")
+    n = F.col("o_orderkey") % 4
+    subject = F.when(n == 0, F.concat(F.lit("school:"), F.col("o_custkey").cast("string"))).when(n == 1, F.col("c_name")).when(n == 2, F.concat(F.lit(" "), F.upper("c_name"), F.lit(" "))).otherwise(F.concat(F.lit("nobody "), F.col("o_custkey").cast("string")))
+    said = t(spark, d, "orders").join(customers, F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", subject.alias("subject_id"))
+    aliases = customers.select(F.col("c_name").alias("alias"), F.concat(F.lit("customer|"), F.col("c_custkey").cast("string")).alias("entity_id"))
+    return recall.canonical_subjects(said, aliases)
+
+
+@query("q81_node_texts", "SELECT 'part:' || p_partkey AS id, concat_ws(' ', 'part:' || p_partkey, p_name, CASE WHEN p_size % 2 = 0 THEN p_type END) AS text FROM part")
+def q81(spark, d):
+    made = make_nodes(t(spark, d, "part"), "Part", "L2", key("part", "p_partkey"), F.struct(F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("").alias("description"), F.col("p_name").alias("name"), "p_brand"))
+    return recall.node_texts(made)
+
+
+@query("q82_sheet_headers", "WITH r AS (SELECT s_nationkey::VARCHAR AS sheet, s_suppkey, s_name, s_acctbal FROM supplier) SELECT sheet, s_name AS school, 'Balance' AS metric_name, s_acctbal AS metric_value FROM r")
+def q82(spark, d):
+    from tiergraph.sources.official import sheet_headers, sheet_values
+
+    body = t(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("sheet"), (F.col("s_suppkey") + 3).cast("int").alias("row"), F.array(F.col("s_name"), F.lit(""), F.format_string("$%.2f", "s_acctbal")).alias("cells"))
+    sheets = body.select("sheet").distinct()
+    title = sheets.select("sheet", F.lit(0).alias("row"), F.array(F.lit("Table 1"), F.lit(None).cast("string")).alias("cells"))
+    head = sheets.select("sheet", F.lit(2).alias("row"), F.array(F.lit("Dental School"), F.lit(" State "), F.lit(" Balance ")).alias("cells"))
+    rows = body.unionByName(title).unionByName(head)
+    return sheet_values(rows, sheet_headers(rows)).select("sheet", "school", "metric_name", "metric_value")
+
+
+@query("q83_tag_pages", "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w, source FROM documents), c AS (SELECT CASE WHEN len(w) > 512 THEN CAST(ceil((len(w) - 512) / 448.0) AS BIGINT) + 1 WHEN len(w) > 0 THEN 1 ELSE 0 END AS n FROM w) SELECT 'HAS_CHUNK' AS label, CAST(sum(n) AS BIGINT) AS n FROM c UNION ALL SELECT 'MENTIONS', count(*) FROM documents WHERE source IS NOT NULL AND doc_id % 3 <> 0 UNION ALL SELECT 'review', count(*) FROM documents WHERE source IS NOT NULL AND doc_id % 3 = 1 UNION ALL SELECT 'Entity', count(DISTINCT source) FROM documents WHERE source <> 'src0' AND doc_id % 3 <> 0")
+def q83(spark, d):
+    from tiergraph.sources.web import tag_pages
+
+    pages = t(spark, d, "documents").select(F.concat(F.lit("page:"), F.col("doc_id").cast("string")).alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("body"), "source", (F.col("doc_id") % 3).alias("k"))
+    mentions = pages.where("source is not null").select("page_id", F.col("source").alias("entity_id"), F.col("source").alias("name"), F.when(F.col("k") == 0, 50.0).when(F.col("k") == 1, 80.0).otherwise(97.0).alias("score"))
+    made, links, reviews = tag_pages(pages, mentions, spark.createDataFrame([("src0",)], "id string"), tier="L2", now=NOW)
+    counted = links.groupBy("label").agg(F.count("*").alias("n"))
+    counted = counted.unionByName(reviews.agg(F.lit("review").alias("label"), F.count("*").alias("n")))
+    return counted.unionByName(made.where("label = 'Entity'").agg(F.lit("Entity").alias("label"), F.count("*").alias("n")))
+
+
+@query("q84_resonance", "WITH a AS (SELECT count(DISTINCT user_id) AS every FROM events) SELECT event_type, count(DISTINCT user_id) AS distinct_authors, count(DISTINCT user_id % 50) AS n_threads, count(*) AS n_docs, round(coalesce(quantile_cont(value, 0.5), 0), 2) AS median_score, round(count(DISTINCT user_id) / any_value(every), 4) AS author_share FROM events, a GROUP BY 1")
+def q84(spark, d):
+    items = t(spark, d, "events").withColumn("thread", F.col("user_id") % 50)
+    return stats.resonance(items, ["event_type"], author="user_id", thread="thread", score="value")
+
+
+@query("q85_media_and_tables", r"""SELECT 'EMBEDS' AS label, CAST(coalesce(sum(len(list_distinct(regexp_extract_all(html, '(?i)<img[^>]+src=["'']([^"'']+)["'']', 1)))), 0) AS BIGINT) AS n FROM pages UNION ALL SELECT 'TABLE_OF', CAST(coalesce(sum(len(regexp_extract_all(html, '(?i)<table[ >]'))), 0) AS BIGINT) FROM pages""")
+def q85(spark, d):
+    from tiergraph.sources.web import media_assets, page_tables
+
+    pages = t(spark, d, "pages").select(F.col("page_id").cast("string").alias("page_id"), "html")
+    count = lambda made, label: made[1].agg(F.lit(label).alias("label"), F.count("*").alias("n"))
+    return count(media_assets(pages, tier="L2", now=NOW), "EMBEDS").unionByName(count(page_tables(pages, tier="L2", now=NOW), "TABLE_OF"))
+
+
+@query("q86_recall", f"WITH {NODES_SQL}, {EDGES_SQL} SELECT 'tier' AS kind, count(*) AS n FROM nodes WHERE label IN ('Post', 'Comment') UNION ALL SELECT 'cluster', count(DISTINCT from_id) FROM edges WHERE label = 'POSTED_IN_FORUM' UNION ALL SELECT 'named', count(*) FROM supplier WHERE contains(lower(s_name), 'supplier#00000000')")
+def q86(spark, d):
+    n, e = nodes(spark, d), edges(spark, d)
+    count = lambda rows, kind: rows.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+    found = count(recall.post_tiers(n), "tier").unionByName(count(recall.post_clusters(e, member="POSTED_IN_FORUM"), "cluster"))
+    return found.unionByName(count(recall.schools_named(n, "the Supplier#00000000", label="Supplier", limit=None), "named"))
+
+
 @query("q48_chunks", r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, len(w) AS n, CASE WHEN len(w) > 512 THEN CAST(ceil((len(w) - 512) / 448.0) AS BIGINT) ELSE 0 END AS last FROM w WHERE len(w) > 0) SELECT doc_id, unnest(range(0, last + 1)) * 448 AS at FROM c")
 def q48(spark, d):
     return t(spark, d, "documents").select("doc_id", F.explode(text.chunks(F.col("text"))).alias("c")).select("doc_id", F.col("c.at").cast("long").alias("at"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +28,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, which goes when the process ends."""
+    path = f"{shared_folder(spark)}/tiergraph-{uuid.uuid4().hex}/{name}"
+
+    def drop() -> None:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone by now
+            return
+
+    atexit.register(drop)
+    return path

@@ -160,3 +160,20 @@ def copy_blocks(lines: DataFrame) -> DataFrame:
 def block_table(blocks: DataFrame, table: str) -> DataFrame:
     """(row, values) of one table, values by column name."""
     return blocks.where(F.col("table") == table).select("row", F.map_from_arrays("columns", "fields").alias("values"))
+
+
+def local_files(spark: SparkSession, path: str, seen: DataFrame) -> DataFrame:
+    """(path, content_hash, content) of the files below a folder whose content is not in ``seen`` (content_hash): the cursor of file sources.
+
+    Of files with equal content the first by path counts.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("content_hash"), "content")
+    fresh = files.select("path", "content_hash").join(seen.select("content_hash"), "content_hash", "left_anti").groupBy("content_hash").agg(F.min("path").alias("path"))
+    return files.join(fresh, ["path", "content_hash"], "left_semi")
+
+
+def batched(rows: DataFrame, size: int) -> DataFrame:
+    """Adds batch: numbers of at most ``size`` rows each, for writers that send so many at once. Rows stay in their partitions."""
+    n = F.monotonically_increasing_id()
+    part, place = F.shiftright(n, 33), n.bitwiseAND((1 << 33) - 1)
+    return rows.withColumn("batch", F.shiftleft(part, 33) + F.floor(place / size))

@@ -28,6 +28,45 @@ def metric_predicate(name: Column) -> Column:
     return F.when(name.rlike("(?is)tuition by class"), kind)
 
 
+# Headers of the school, state and city columns, parts of such headers, and headers that are no metrics.
+SCHOOL_HEADERS = ("school", "dental school", "institution", "name", "school name")
+SCHOOL_PARTS = ("dental schools", "dental-schools", "coda-accredited dental", "dental school 1", "dental school 2", "dental school 3", "dental school (")
+STATE_HEADERS, STATE_PARTS = ("state", "st", "state / province", "state/province"), ("state /", "state/", "state / country", "country / province")
+OTHER_HEADERS = ("city", "type", "type of institutional support", "country", "region")
+
+
+def _names(cell: Column, whole: tuple[str, ...], parts: tuple[str, ...]) -> Column:
+    low = F.lower(F.trim(F.coalesce(cell, F.lit(""))))
+    out = low.isin(*whole)
+    for x in parts:
+        out = out | F.contains(low, F.lit(x))
+    return out
+
+
+def sheet_headers(rows: DataFrame) -> DataFrame:
+    """(sheet, header_row, school_at, state_at, metrics) of raw sheets (sheet, row, cells): the first row that names a school column is the header.
+
+    metrics are structs (at, name) of all other named columns. Places count from 0; a sheet without such a row has none.
+    """
+    school = lambda c: _names(c, SCHOOL_HEADERS, SCHOOL_PARTS)
+    state = lambda c: _names(c, STATE_HEADERS, STATE_PARTS)
+    heads = rows.where(F.exists("cells", school)).groupBy("sheet").agg(F.min(F.struct("row", "cells")).alias("h")).select("sheet", "h.*")
+    at = lambda hit: F.element_at(F.filter(F.transform("cells", lambda c, i: F.when(hit(c), i)), lambda i: i.isNotNull()), 1)
+    named = F.transform("cells", lambda c, i: F.struct(i.alias("at"), F.trim(c).alias("name")))
+    metric = F.filter(named, lambda x: (x["name"] != "") & ~school(x["name"]) & ~state(x["name"]) & ~F.lower(x["name"]).isin(*OTHER_HEADERS))
+    first = lambda hit: F.when(F.exists("cells", hit), at(hit))
+    return heads.select("sheet", F.col("row").alias("header_row"), first(school).alias("school_at"), first(state).alias("state_at"), metric.alias("metrics"))
+
+
+def sheet_values(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """(sheet, school, state, metric_name, metric_value) of the rows below each sheet's header."""
+    body = rows.join(headers, "sheet").where("row > header_row")
+    cell = lambda i: F.nullif(F.trim(F.get("cells", i)), F.lit(""))
+    long = body.select("sheet", cell(F.col("school_at")).alias("school"), cell(F.col("state_at")).alias("state"), "cells", F.explode("metrics").alias("m"))
+    value = F.regexp_replace(F.get("cells", F.col("m.at")), r"[$,%\s]", "").try_cast("double")
+    return long.select("sheet", "school", "state", F.col("m.name").alias("metric_name"), value.alias("metric_value")).where("school is not null and metric_value is not null")
+
+
 def unpivot_sheet(sheet: DataFrame, keys: list[str], cycle: str) -> DataFrame:
     """(keys, cycle_year, metric_name, metric_value) for every other column that holds a number in a row."""
     others = [c for c in sheet.columns if c not in keys]

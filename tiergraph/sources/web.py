@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tiergraph.functions.text import chunks
 from tiergraph.functions.url import bare_host, defragment, links
 from tiergraph.model import make_edges, make_nodes
 
@@ -111,3 +112,68 @@ def assemble_pages(records: DataFrame, *, url_col: str, html_col: str, time_col:
     known = (F.lit(ingest), None)
     edges = make_edges(inside, "LINKS_TO", tier, page_id(F.col("url")), page_id(F.col("target")), valid=(F.col("at"), None), ingest=known)
     return nodes, edges.unionByName(make_edges(outside, "REFERENCES_EXTERNAL", tier, page_id(F.col("url")), F.concat(F.lit("external:"), F.substring(F.sha2("target", 256), 1, 16)), valid=(F.col("at"), None), ingest=known))
+
+
+# Words of a chunk, and of the overlap of two.
+CHUNK_WORDS, CHUNK_OVERLAP = 512, 64
+#: From which score a mention is a link, and from which one it is to be reviewed.
+LINKED, REVIEWED = 95.0, 75.0
+
+
+def _short(*parts: Column) -> Column:
+    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
+
+
+def tag_pages(pages: DataFrame, mentions: DataFrame, known: DataFrame, *, tier: str, now: datetime) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, reviews) of pages (page_id, url, body) and what they mention (page_id, entity_id, name, score).
+
+    Pages get chunks; an entity without a node in ``known`` (id) gets a stub, so that one that has is never overwritten;
+    a mention below a link's score is an edge as well, and one to be reviewed.
+    """
+    cut = pages.select("page_id", F.posexplode(chunks(F.col("body"), CHUNK_WORDS, CHUNK_OVERLAP)).alias("ordinal", "c")).select("page_id", "ordinal", "c.chunk")
+    chunk_id = F.concat(F.lit("chunk:"), _short(F.col("page_id"), F.col("ordinal").cast("string"), F.col("chunk")))
+    words = F.size(F.filter(F.split("chunk", r"\s+"), lambda w: w != ""))
+    nodes = make_nodes(cut, "Chunk", tier, chunk_id, F.struct("page_id", "ordinal", F.col("chunk").alias("text"), words.alias("token_count"), F.substring(F.sha2("chunk", 256), 1, 16).alias("content_hash")))
+    met = mentions.where(F.col("score") >= REVIEWED)
+    stubs = met.groupBy("entity_id").agg(F.min("name").alias("canonical_name")).join(known.select(F.col("id").alias("entity_id")), "entity_id", "left_anti")
+    nodes = nodes.unionByName(make_nodes(stubs, "Entity", tier, F.col("entity_id"), F.struct("canonical_name")))
+    since = {"valid": (F.lit(now), None), "ingest": (F.lit(now), None)}
+    edges = make_edges(cut, "HAS_CHUNK", tier, F.col("page_id"), chunk_id, **since)
+    best = met.groupBy("page_id", "entity_id").agg(F.max("score").alias("score"))
+    edges = edges.unionByName(make_edges(best, "MENTIONS", tier, F.col("page_id"), F.col("entity_id"), confidence=F.col("score") / 100, **since))
+    reviews = best.where(F.col("score") < LINKED).join(pages.select("page_id", "url"), "page_id").select(F.lit("entity_link_ambiguous").alias("item_type"), "page_id", "url", "entity_id", "score")
+    return nodes, edges, reviews
+
+
+def page_groups(pages: DataFrame, size: int) -> DataFrame:
+    """(cluster_id, members): pages (url, content_hash) in groups of at most ``size``, by the hash of their URL; ids depend on the members alone.
+
+    A group is a hash bucket cut into runs, so no task sees all pages.
+    """
+    buckets = max(1, -(-pages.count() // (size * 64)))
+    order = Window.partitionBy("__bucket").orderBy("url", "content_hash")
+    placed = pages.select("url", "content_hash").withColumn("__bucket", F.pmod(F.xxhash64("url"), F.lit(buckets))).withColumn("__run", F.floor((F.row_number().over(order) - 1) / size))
+    grouped = placed.groupBy("__bucket", "__run").agg(F.array_sort(F.collect_list(F.concat_ws("|", "url", "content_hash"))).alias("keys"), F.array_sort(F.collect_list("url")).alias("members"))
+    return grouped.select(F.concat(F.lit("cluster:"), F.substring(F.sha2(F.array_join("keys", "|"), 256), 1, 16)).alias("cluster_id"), "members")
+
+
+def within_budget(n_clusters: int, *, spent: float, cap: float, each: float = 0.001) -> tuple[bool, float]:
+    """(whether summaries of so many clusters fit into what is left of a month's cap, their projected cost)."""
+    projected = n_clusters * each
+    return projected <= max(0.0, cap - spent), projected
+
+
+def media_assets(pages: DataFrame, *, tier: str, now: datetime) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): the images of pages (page_id, html), a node an address, and which page embeds which."""
+    found = pages.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all(F.col("html"), F.lit(r"""(?i)<img[^>]+src=["']([^"']+)["']"""), F.lit(1)))).alias("src"))
+    asset = F.concat(F.lit("media:"), _short(F.col("src")))
+    nodes = make_nodes(found.select("src").distinct(), "MediaAsset", tier, asset, F.struct(F.col("src").alias("url")))
+    return nodes, make_edges(found, "EMBEDS", tier, F.col("page_id"), asset, valid=(F.lit(now), None), ingest=(F.lit(now), None))
+
+
+def page_tables(pages: DataFrame, *, tier: str, now: datetime) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): the tables of pages (page_id, html), each a node of its own page."""
+    found = pages.select("page_id", F.explode(html_tables(F.col("html"))).alias("t")).select("page_id", "t.*")
+    table = F.concat(F.lit("table:"), _short(F.col("page_id"), F.col("ordinal").cast("string")))
+    nodes = make_nodes(found, "Table", tier, table, F.struct("page_id", "ordinal", "rows", "cols", F.to_json("cells").alias("cells")))
+    return nodes, make_edges(found, "TABLE_OF", tier, table, F.col("page_id"), valid=(F.lit(now), None), ingest=(F.lit(now), None))
