@@ -41,14 +41,18 @@ NAME, NUMBER, UNIT = "", "", ""
 INITIAL = ""
 
 
+def _marked_text(text: Column) -> Column:
+    """A text with its placeholders' signs, each before the value that it stands for."""
+    clean = reduce(lambda t, sign: F.replace(t, F.lit(sign), F.lit(" ")), (NAME, NUMBER, UNIT, INITIAL), F.coalesce(text, F.lit("")))
+    marked = F.regexp_replace(clean, r"(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}+)", INITIAL + "$1")
+    named = F.regexp_replace(marked, rf"{INITIAL}(?<=[\p{{L}}\p{{N}},;] {INITIAL})", NAME)
+    numbered = F.regexp_replace(F.lower(named), r"(?<![\p{L}\p{N}])(\p{N}++(?:[.,:/]\p{N}++)*+)", NUMBER + "$1 ")
+    return F.regexp_replace(numbered, rf"({NUMBER}[\p{{N}}.,:/]++ {{1,2}}){INITIAL}?({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")
+
+
 def _marked_words(text: Column) -> Column:
     """The words of both templates of a text: those with INITIAL differ."""
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}{NUMBER}{UNIT}{INITIAL}]", " ")
-    named = F.regexp_replace(clean, r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)", NAME + "$1")
-    marked = F.regexp_replace(named, rf"(?<![\p{{L}}\p{{N}}{NAME}])(\p{{Lu}}\p{{Ll}}+)", INITIAL + "$1")
-    numbered = F.regexp_replace(F.lower(marked), r"(?<![\p{L}\p{N}])(\p{N}++(?:[.,:/]\p{N}++)*+)", NUMBER + "$1 ")
-    united = F.regexp_replace(numbered, rf"({NUMBER}[\p{{N}}.,:/]++ {{1,2}}){INITIAL}?({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")
-    return F.regexp_extract_all(united, F.lit(rf"{NUMBER}\p{{N}}++(?:[.,:/]\p{{N}}++)*+|[{NAME}{UNIT}{INITIAL}]?[\p{{L}}\p{{N}}]++"), F.lit(0))
+    return F.regexp_extract_all(_marked_text(text), F.lit(rf"{NUMBER}\p{{N}}++(?:[.,:/]\p{{N}}++)*+|[{NAME}{UNIT}{INITIAL}]?[\p{{L}}\p{{N}}]++"), F.lit(0))
 
 
 def _template(marked: Column, initials: bool) -> Column:
@@ -64,29 +68,49 @@ def _is_slot(word: Column) -> Column:
     return word.substr(1, 1).isin(NAME, NUMBER, UNIT)
 
 
-def word_hashes(words: Column) -> Column:
-    """A hash for each template word; those of one placeholder are equal."""
-    return F.transform(words, lambda w: F.xxhash64(F.when(_is_slot(w), w.substr(1, 1)).otherwise(w)))
+def _signs(words: Column) -> Column:
+    """Template words with placeholders as their bare signs."""
+    return F.transform(words, lambda w: F.when(_is_slot(w), w.substr(1, 1)).otherwise(w))
 
 
-def window_hashes(hashes: Column, window: int) -> Column:
-    """The hash of each window; of all words, if there are fewer."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(hashes) - (window - 1), F.lit(1)))
-    return F.when(F.size(hashes) > 0, F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, window)))).otherwise(F.array().cast("array<long>"))
+def window_hashes(words: Column, window: int) -> Column:
+    """The hash of each window of template words; of all words, if there are fewer."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (window - 1), F.lit(1)))
+    word = lambda i, j: F.get(words, i + (j - 1))  # noqa: E731  null beyond the last, which a hash passes over
+    return F.when(F.size(words) > 0, F.transform(starts, lambda i: F.xxhash64(*[word(i, j) for j in range(window)]))).otherwise(F.array().cast("array<long>"))
 
 
 def _windows(rows: DataFrame, window: int) -> DataFrame:
     """(…, words) -> (…, at, h), a row a window."""
-    hashed = rows.withColumn("__h", word_hashes(F.col("words")))
-    return hashed.select(*[c for c in rows.columns if c != "words"], F.posexplode(window_hashes(F.col("__h"), window)).alias("at", "h"))
+    signed = rows.withColumn("__s", _signs(F.col("words")))
+    return signed.select(*[c for c in rows.columns if c != "words"], F.posexplode(window_hashes(F.col("__s"), window)).alias("at", "h"))
+
+
+def _bare_words(text: Column) -> Column:
+    """The words of both templates, placeholders as bare signs: those with INITIAL differ."""
+    bare = F.regexp_replace(_marked_text(text), rf"({NUMBER})\p{{N}}++(?:[.,:/]\p{{N}}++)*+|([{NAME}{UNIT}])[\p{{L}}\p{{N}}]++", "$1$2")
+    return F.regexp_extract_all(bare, F.lit(rf"[{NAME}{NUMBER}{UNIT}]|{INITIAL}?[\p{{L}}\p{{N}}]++"), F.lit(0))
 
 
 def _met(rows: DataFrame, lengths: list[int]) -> DataFrame:
-    """(key, marked) -> (key, templates, h), a row for each distinct window of any of the lengths; templates is 1, 2, or 3 for a window of both."""
-    hashed = rows.select("key", *[word_hashes(_template(F.col("marked"), initials)).alias(name) for initials, name in ((False, "one"), (True, "two"))])
-    windowed = hashed.select("key", *[F.concat(*[window_hashes(F.col(name), k) for k in lengths]).alias(name) for name in ("one", "two")])
-    sets = windowed.select("key", F.explode(F.array(*[F.struct(F.lit(n).alias("templates"), hs.alias("hs")) for n, hs in ((1, F.array_except("one", "two")), (2, F.array_except("two", "one")), (3, F.array_intersect("one", "two")))])).alias("s"))
-    return sets.select("key", "s.templates", F.explode("s.hs").alias("h"))
+    """(key, bare) -> (key, templates, h), a row for each window of any of the lengths; templates is 1, 2, or 3 for a window of both.
+
+    Windows are the words beside themselves, shifted: no function is called for each word, and all but cutting the text is compiled.
+    """
+    names = [f"w{j}" for j in range(max(lengths))]
+    shifted = F.arrays_zip(*[(F.slice("bare", j + 1, F.greatest(F.size("bare"), F.lit(1))) if j else F.col("bare")).alias(name) for j, name in enumerate(names)])
+    words = rows.select("key", F.size("bare").alias("n"), F.posexplode(shifted).alias("at", "w")).select("key", "n", "at", "w.*")
+    initial = lambda c: F.startswith(F.col(c), F.lit(INITIAL))
+    one = lambda templates, h: F.struct(F.lit(templates).alias("templates"), h.alias("h"))
+
+    def window(k: int) -> Column:
+        own = names[:k]
+        plain = F.xxhash64(*[F.when(initial(c), F.substring(c, 2, 1 << 30)).otherwise(F.col(c)) for c in own])
+        named = F.xxhash64(*[F.when(initial(c), F.lit(NAME)).otherwise(F.col(c)) for c in own])
+        both = F.when(reduce(Column.__or__, map(initial, own)), F.array(one(1, plain), one(2, named))).otherwise(F.array(one(3, F.xxhash64(*own))))
+        return F.when((F.col("at") <= F.col("n") - k) | ((F.col("at") == 0) & (F.col("n") < k)), both).otherwise(F.slice(both, 1, 0))
+
+    return words.select("key", F.explode(F.concat(*map(window, lengths))).alias("m")).select("key", "m.templates", "m.h")
 
 
 def _if_small(small: DataFrame, rows: int) -> DataFrame:
@@ -110,7 +134,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, s
     texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     size = F.size("words").alias("k")
     lengths = [window, *[r.k for r in items.select(size).where(F.col("k").between(1, window - 1)).distinct().collect()]] if short_items else [window]
-    met = _met(texts.select("key", _marked_words(F.col("text")).alias("marked")), lengths)
+    met = _met(texts.select("key", _bare_words(F.col("text")).alias("bare")), lengths)
     hits = met.join(_if_small(windows.select("item_id", "template", "h").distinct(), n_windows), "h").where(F.col("templates").bitwiseAND(F.col("template")) > 0)
     found = hits.groupBy("key", "item_id", "template", "h").count().groupBy("key", "item_id", "template").agg(F.count("*").alias("n_found"))
     enough = found.join(totals, ["item_id", "template"]).where(F.col("n_found") >= F.lit(share) * F.col("n_windows"))
@@ -138,7 +162,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, s
 
 def _slots(rows: DataFrame, window: int) -> DataFrame:
     """(…, words) -> (…, h, at, slot, value), a row for each placeholder of each window."""
-    hashed = rows.withColumn("__h", word_hashes(F.col("words"))).withColumn("__w", window_hashes(F.col("__h"), window))
+    hashed = rows.withColumn("__s", _signs(F.col("words"))).withColumn("__w", window_hashes(F.col("__s"), window))
     own = [c for c in rows.columns if c != "words"]
 
     def inside(at: Column) -> Column:
