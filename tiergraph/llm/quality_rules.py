@@ -154,16 +154,16 @@ def score_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     voted = rules()
     cast = [F.when(strong, STRONG).when(weak, WEAK).when(good, GOOD).otherwise(-1).cast("int") for strong, weak, good in voted.values()]
     votes = found.withColumn("votes", F.array(*cast))
-    patterns = [(tuple(r.votes), r["count"]) for r in votes.groupBy("votes").count().collect()]  # 4^9 rows at most
-    shares, rates = fit_rules(sorted(patterns), *starting_rates(list(voted)))
-    logs = []
-    for share, by_rule in zip(shares.tolist(), np.log(rates).tolist(), strict=True):
-        at = lambda j, by_rule=by_rule: F.coalesce(F.get(F.array(*map(F.lit, by_rule[j])), F.col("votes")[j]), F.lit(0.0))
-        logs.append(sum((at(j) for j in range(len(by_rule))), F.lit(float(np.log(share)))))
-    odds = sum((F.exp(x - logs[0]) for x in logs[1:]), F.lit(1.0))
+    counted = [(tuple(r.votes), r["count"]) for r in votes.groupBy("votes").count().collect()]  # 4^9 rows at most
+    patterns = sorted(counted)
+    fitted = fit_rules(patterns, *starting_rates(list(voted)))
+    quality = posteriors(np.array([p for p, _ in patterns], np.int8).reshape(len(patterns), len(voted)), *fitted)[:, 0]
+    #: Equal votes have equal posteriors: a row a pattern, 4^9 at most (some 10 MB), goes to the documents.
+    table = docs.sparkSession.createDataFrame([(list(p), q) for (p, _), q in zip(patterns, quality.tolist(), strict=True)], "votes array<int>, quality double")
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
-    scored = votes.withColumn("quality", 1 / odds).withColumn("base_failed", failed)
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+    scored = votes.join(F.broadcast(table), "votes").withColumn("base_failed", failed)
+    kept = ~F.col("base_failed") & (F.col("quality") >= threshold)
+    return scored.select(*found.columns, "votes", "quality", "base_failed", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
