@@ -64,3 +64,29 @@ def test_toxicity_query_learns_from_rows_that_are_not_held_out(spark, tmp_path):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
     right = [got[i].predicted == y for i, _, y in rows if got[i].held_out]  # held-out labels are wrong, and not learnt
     assert sum(right) / len(right) > 0.9
+
+
+def test_stages_on_null_ids_repeats_and_odd_columns(spark, tmp_path):
+    """Null ids and texts, repeated rows, a map, and columns named like the operators' own."""
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 90), f"s{i % 3}", 1, {"k": "v"}, "x", 3) for i in range(40)]
+    rows += [(None, prose(rng, 90), None, 1, None, "x", 3), (None, None, "s0", None, {}, None, None), (3, rows[3][1], "s0", 2, {"a": "b"}, "y", 4), rows[5], (90, "", "s1", 0, {}, "z", 0), (91, ". ".join(" ".join(f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(11)) for _ in range(3000)) + ".", "s1", 0, {}, "z", 0)]
+    schema = "doc_id long, text string, source string, n_chars long, meta map<string,string>, key string, n_words int"
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for k, (_, stage) in enumerate(C.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(str(tmp_path / f"out{k}"))
+        if k < len(C.STAGES) - 1:
+            assert out.columns == docs.columns
+            docs = spark.read.parquet(str(tmp_path / f"out{k}"))
+    kept = sorted(str(r.doc_id) for r in docs.collect())
+    assert kept == sorted([*map(str, range(40)), "None", "91"])
+    assert {r.doc_id: r.meta for r in docs.collect()}[7] == {"k": "v"}
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, "an item of some words to look for")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in C.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
