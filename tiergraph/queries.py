@@ -720,11 +720,11 @@ def q62(spark, d):
     return filters.blocklist(t(spark, d, "benchmark"), "text", t(spark, d, "documents").withColumnRenamed("text", "pattern"), "pattern").select("item_id")
 
 
-@query("q63_due_jobs", "WITH n AS (SELECT date_trunc('day', max(ts)) AS now FROM events), s AS (SELECT user_id, round(sum(value), 4) AS spent FROM events, n WHERE ts >= date_trunc('month', now) AND ts <= now GROUP BY 1), j AS (SELECT user_id, max(ts) - INTERVAL 2 day AS due FROM events GROUP BY 1) SELECT j.user_id, coalesce(spent, 0.0) AS spent FROM j LEFT JOIN s USING (user_id), n WHERE due <= now AND coalesce(spent, 0.0) < 300 ORDER BY due, j.user_id LIMIT 50")
+@query("q63_due_jobs", "WITH n AS (SELECT date_trunc('day', max(ts)) AS now FROM events), s AS (SELECT user_id, round(sum(value), 4) AS spent FROM events, n WHERE ts >= date_trunc('month', now) AND ts <= now GROUP BY 1), j AS (SELECT user_id, max(ts) - INTERVAL 2 day AS due FROM events GROUP BY 1) SELECT j.user_id, coalesce(spent, 0.0) AS spent FROM j LEFT JOIN s USING (user_id), n WHERE due <= now AND coalesce(spent, 0.0) < 3200 ORDER BY due, j.user_id LIMIT 50")
 def q63(spark, d):
     ev = t(spark, d, "events")
     now = ev.agg(F.date_trunc("day", F.max("ts"))).first()[0]
-    jobs = ev.groupBy("user_id").agg((F.max("ts") - F.expr("interval 2 days")).alias("due")).withColumns({"status": F.lit("active"), "budget": F.lit(300.0)})
+    jobs = ev.groupBy("user_id").agg((F.max("ts") - F.expr("interval 2 days")).alias("due")).withColumns({"status": F.lit("active"), "budget": F.lit(3200.0)})
     found = dashboards.due_jobs(jobs, dashboards.month_spend(ev, "user_id", "ts", "value", now), "user_id", due="due", budget="budget", now=now)
     return found.select("user_id", F.coalesce("spent", F.lit(0.0)).alias("spent"))
 
