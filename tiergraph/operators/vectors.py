@@ -69,25 +69,28 @@ def hash_embedding(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: hash_embed(t or "").tolist())
 
 
+def _spread(mat: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows to start from: each drawn by its distance to the nearest one drawn before."""
+    chosen, nearest = [int(rng.integers(len(mat)))], np.full(len(mat), -np.inf)
+    while len(chosen) < k:
+        nearest = np.maximum(nearest, mat @ mat[chosen[-1]])
+        odds = np.maximum(1 - nearest, 0)
+        chosen.append(int(rng.choice(len(mat), p=odds / odds.sum() if odds.any() else None)))
+    return mat[chosen]
+
+
 def spherical_kmeans(mat: np.ndarray, k: int, seed: int = 0, iters: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """(labels, centres) of unit rows by cosine, started as k-means++."""
-    rng = np.random.default_rng(seed)
-    centres = [mat[rng.integers(len(mat))]]
-    for _ in range(1, k):
-        far = np.clip(1 - np.max(mat @ np.array(centres).T, axis=1), 0, None)
-        total = far.sum()
-        centres.append(mat[rng.choice(len(mat), p=far / total) if total > 0 else rng.integers(len(mat))])
-    c, labels = np.array(centres), np.full(len(mat), -1)
+    """(labels, centres) of unit rows by cosine: rows go to the nearest centre, centres to the direction of their rows' sum, until no row moves."""
+    centres, labels = _spread(mat, k, np.random.default_rng(seed)), None
     for _ in range(iters):
-        now = np.argmax(mat @ c.T, axis=1)
-        if (now == labels).all():
+        nearest = (mat @ centres.T).argmax(axis=1)
+        if labels is not None and np.array_equal(nearest, labels):
             break
-        labels = now
-        for j in range(k):
-            if (own := mat[labels == j]).size:
-                mean = own.sum(axis=0)
-                c[j] = mean / (np.linalg.norm(mean) or 1.0)
-    return labels, c
+        labels = nearest
+        sums = (labels == np.arange(k)[:, None]).astype(float) @ mat
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / np.where(length > 0, length, 1.0), centres)  # an empty cluster keeps its centre
+    return labels, centres
 
 
 def cluster(vectors: DataFrame, by: list[str], id_col: str, vec_col: str, *, k: int = 12, seed: int = 0) -> DataFrame:
