@@ -87,3 +87,9 @@ def test_rows_that_share_an_id_are_told_apart_by_their_texts(spark):
     size, total, target = brute(rows)
     for s in total:
         assert abs(sum(r.taken for r in got if r.source == s) - target[s]) <= 41
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "w " * 300_000, "a"), (2, "x" * 500_000, "a"), (3, "y " * 10, "b")]
+    got = {r.doc_id: r for r in M.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {i: r.size for i, r in got.items()} == {1: 300_000, 2: 1, 3: 10} and all(r.taken <= 3 * r.size for r in got.values())
