@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiergraph.operators.filters import SENTIMENT_MARKERS
+from tiergraph.runtime import scratch_path
 
 Provider = Callable[[list[str]], list[str]]
 # Which markers speak well.
@@ -46,7 +47,10 @@ def run_task(rows: DataFrame, cache: DataFrame, provider: Provider, *, id_col: s
         for f in frames:
             yield pd.DataFrame({"key": f["key"], "output": provider(f["text"].fillna("").tolist())})
 
-    fresh = missing.mapInPandas(ask, "key string, output string")
+    #: Written, as a model is to be asked once, and both results read its answers.
+    path = scratch_path(rows.sparkSession, "fresh")
+    missing.mapInPandas(ask, "key string, output string").write.parquet(path)
+    fresh = rows.sparkSession.read.schema("key string, output string").parquet(path)
     every = known.withColumn("from_cache", F.lit(True)).unionByName(fresh.withColumn("from_cache", F.lit(False)))
     return keyed.select("id", "key").join(every, "key").select("id", "key", "output", "from_cache"), fresh
 

@@ -8,6 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tiergraph.runtime import scratch_path
+
 RECEIPT_SCHEMA = "source_id string, pulled_at timestamp, mode string, status string, rows long, cursor_value string, error string"
 
 
@@ -82,11 +84,17 @@ def sqlite_source(path: str):
     return SQLite
 
 
-def pull(source_id: str, read: Callable[[object], DataFrame], cursor_column: str, after, *, mode: str = "delta") -> tuple[DataFrame, DataFrame]:
-    """(receipt, rows): one pull. A source that fails gives an errored receipt and no rows; the cursor then stays."""
+def pull(source_id: str, read: Callable[[object], DataFrame], cursor_column: str, after, *, mode: str = "delta", target: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(receipt, rows): one pull. A source that fails gives an errored receipt and no rows; the cursor then stays.
+
+    Rows are landed (at ``target``, else in the shared folder) before they are counted, so that what a receipt says is what was read, whatever the source does later.
+    """
     spark = SparkSession.active()
     try:
-        rows = delta(read(after), cursor_column, after if mode == "delta" else None)
+        path = target or scratch_path(spark, "pull")
+        fresh = delta(read(after), cursor_column, after if mode == "delta" else None)
+        fresh.write.parquet(path)
+        rows = spark.read.schema(fresh.schema).parquet(path)
         n, last = rows.agg(F.count("*"), F.max(cursor_column)).first()
         receipt = (source_id, datetime.now(), mode, "ok", n, str(last if last is not None else after), None)
     except Exception as error:  # noqa: BLE001  whatever a foreign source raises belongs in the receipt
@@ -94,6 +102,17 @@ def pull(source_id: str, read: Callable[[object], DataFrame], cursor_column: str
     return spark.createDataFrame([receipt], RECEIPT_SCHEMA), rows
 
 
+def reset_receipt(source_id: str, at: datetime) -> DataFrame:
+    """A receipt after which a source is pulled from its beginning."""
+    return SparkSession.active().createDataFrame([(source_id, at, "reset", "ok", 0, None, None)], RECEIPT_SCHEMA)
+
+
+def cursors(receipts: DataFrame) -> DataFrame:
+    """(source_id, cursor_value): where each source's next pull begins, from the last receipt that went well; null after a reset."""
+    last = receipts.where("status = 'ok'").groupBy("source_id").agg(F.max_by(F.struct("cursor_value"), "pulled_at").alias("c"))
+    return last.select("source_id", "c.cursor_value")
+
+
 def connector_stats(receipts: DataFrame) -> DataFrame:
     """(source_id, pulls, rows) over the pulls that went well."""
     return receipts.where("status = 'ok'").groupBy("source_id").agg(F.count("*").alias("pulls"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
