@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tiergraph.operators import recall, resolution, retrieval, vectors
+from tiergraph.operators import filters, mapping, recall, resolution, retrieval, vectors
 from tiergraph.operators.lexical_index import build_index
 from tiergraph.plans import planner
 from tiergraph.sources import connectors, official, web
@@ -134,3 +134,22 @@ def test_aliases_match_as_all_pairs_do(spark, seed):
         if best >= 95:
             want[i] = best
     assert got == want
+
+
+def test_stated_sets_of_any_size_are_held_against_all_rows_in_blocks(spark, monkeypatch):
+    rng = random.Random(7)
+    point = lambda: [rng.uniform(-1, 1) for _ in range(4)]
+    rows = spark.createDataFrame([(i, point(), f"t{i}") for i in range(40)], "id long, v array<double>, t string")
+    protos = spark.createDataFrame([(f"b{i}", point()) for i in range(11)], "b string, p array<double>")
+    run = lambda block: sorted(map(tuple, vectors.classify_counted(rows, "v", "id", protos, "p", "b", block=block).collect()))
+    assert run(3) == run(1000) and sum(r[1] for r in run(3)) == 40
+    assert [tuple(r) for r in vectors.classify_counted(rows, "v", "id", protos.limit(0), "p", "b").collect()] == [("unclear", 40, 1.0)]
+    blocked = protos.select(F.col("b").alias("x"), "p")
+    sift = lambda: sorted(r.id for r in filters.blocklist(rows, "t", blocked, "x", vectors=("v", "p"), limit=0.6).collect())
+    whole = sift()
+    monkeypatch.setattr(filters, "BLOCK", 2)
+    assert sift() == whole and 0 < len(whole) < 40
+    columns = spark.createDataFrame([("s", c) for c in ("id", "name", "citty")], "table_name string, column_name string")
+    dictionary = spark.createDataFrame([(f"N{i}", x, x) for i, x in enumerate(["id", "name", "city", "state", "year"])], "node_type string, property string, text string")
+    found = lambda block: sorted(map(tuple, mapping.column_matches(columns, dictionary, block=block).collect()))
+    assert found(2) == found(100) and len(found(2)) >= 2

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiergraph.model import LEVEL_EDGES, LEVEL_NODES, tier_ordinal
+from tiergraph.runtime import in_blocks
 
 
 def tier_passes(tier: Column, minimum: str | None) -> Column:
@@ -101,8 +102,6 @@ def blocklist(rows: DataFrame, text_col: str, blocked: DataFrame, pattern_col: s
     from tiergraph.operators.vectors import cosine
 
     patterns = blocked.select(F.col(vectors[1]).alias("__pattern")).where("__pattern is not null").distinct()
-    blocks = -(-patterns.count() // BLOCK)
-    for i in range(blocks):
-        block = patterns.where(F.pmod(F.xxhash64("__pattern"), F.lit(blocks)) == i)
+    for block in in_blocks(patterns, BLOCK):
         kept = kept.join(F.broadcast(block), cosine(F.col(vectors[0]), F.col("__pattern")) > limit, "left_anti")
     return kept

@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiergraph.functions.similarity import token_set_ratio_udf
 from tiergraph.operators.vectors import cosine, hash_embedding
+from tiergraph.runtime import in_blocks
 
 # From when a name alone decides, when vectors count, when a weak name does, and the routes.
 LEXICAL, SEMANTIC, WEAK = 0.85, 0.50, 0.60
 AUTO, REVIEW = 0.90, 0.60
 
 
-def column_matches(columns: DataFrame, dictionary: DataFrame, *, most: int = 10_000) -> DataFrame:
+def column_matches(columns: DataFrame, dictionary: DataFrame, *, block: int = 10_000) -> DataFrame:
     """(table_name, column_name, node_type, score): the best entry of a property dictionary (node_type, property, text) for each column.
 
-    The dictionary is a fixed vocabulary; it is broadcast after a check of its size.
+    The dictionary is a stated set that all columns are held against, in blocks of about ``block`` entries.
     """
-    if (n := dictionary.count()) > most:
-        raise ValueError(f"a dictionary of {n} properties; at most {most}")
     words = lambda c: F.regexp_replace(F.lower(F.trim(c)), "[ _]+", "_")
-    pairs = columns.join(F.broadcast(dictionary))
     lexical = token_set_ratio_udf(words(F.col("column_name")), words(F.col("property"))) / 100.0
-    scored = pairs.withColumns({"lex": lexical, "sem": cosine(hash_embedding(F.col("column_name")), hash_embedding(F.col("text")))})
-    best = scored.groupBy("table_name", "column_name").agg(F.max(F.struct("lex", "node_type")).alias("l"), F.max(F.struct("sem", "node_type")).alias("s"))
+    tops = []
+    for part in in_blocks(dictionary, block):
+        pairs = columns.join(F.broadcast(part))
+        scored = pairs.withColumns({"lex": lexical, "sem": cosine(hash_embedding(F.col("column_name")), hash_embedding(F.col("text")))})
+        tops.append(scored.groupBy("table_name", "column_name").agg(F.max(F.struct("lex", "node_type")).alias("l"), F.max(F.struct("sem", "node_type")).alias("s")))
+    best = reduce(DataFrame.unionByName, tops).groupBy("table_name", "column_name").agg(F.max("l").alias("l"), F.max("s").alias("s"))
     score = F.when(F.col("l.lex") >= LEXICAL, F.col("l.lex")).when(F.col("s.sem") >= SEMANTIC, 0.6 * F.col("s.sem") + 0.4 * F.col("l.lex")).when(F.col("l.lex") >= WEAK, F.col("l.lex") * 0.7)
     kind = F.when((F.col("l.lex") < LEXICAL) & (F.col("s.sem") >= SEMANTIC), F.col("s.node_type")).otherwise(F.col("l.node_type"))
     return best.select("table_name", "column_name", kind.alias("node_type"), score.alias("score")).where("score is not null")

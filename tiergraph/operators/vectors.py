@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tiergraph.runtime import in_blocks
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -36,18 +38,19 @@ def bands(scored: DataFrame, score: str, *, floor: float = 0.35, band: float = 0
     return F.when(s.isNull(), "no_vector").when(s >= floor, "keep").when(s >= floor - band, "borderline").otherwise("drop")
 
 
-def classify_counted(vectors: DataFrame, vec_col: str, id_col: str, prototypes: DataFrame, proto_col: str, name_col: str, *, min_sim: float = 0.15, most: int = 1000) -> DataFrame:
+def classify_counted(vectors: DataFrame, vec_col: str, id_col: str, prototypes: DataFrame, proto_col: str, name_col: str, *, min_sim: float = 0.15, block: int = 1000) -> DataFrame:
     """A row a bucket: n and fraction; what is below ``min_sim`` for all prototypes is unclear.
 
-    Prototypes are named by people, and at most ``most`` of them; they are broadcast after a check.
+    Prototypes are a stated set that all vectors are held against, in blocks of about ``block``; a vector stays one row, with the best so far.
     """
-    if (n := prototypes.count()) > most:
-        raise ValueError(f"{n} prototypes; at most {most}")
-    packed = prototypes.agg(F.collect_list(F.struct(F.col(proto_col).alias("p"), F.col(name_col).alias("b"))).alias("__protos"))
-    scored = vectors.select(id_col, vec_col).join(F.broadcast(packed))  # one row, so that a vector stays one row
-    best = F.array_max(F.transform("__protos", lambda x: F.struct(F.round(cosine(F.col(vec_col), x["p"]), 6).alias("s"), x["b"].alias("b"))))
-    named = scored.select(best.alias("m")).select(F.when(F.col("m.s") >= min_sim, F.col("m.b").cast("string")).otherwise("unclear").alias("bucket"))
-    return share(named, "bucket", digits=3)
+    named = prototypes.select(F.col(proto_col).alias("p"), F.col(name_col).alias("b"))
+    best = vectors.select(id_col, vec_col).withColumn("__best", F.lit(None).cast(f"struct<s:double,b:{named.schema['b'].dataType.simpleString()}>"))
+    for part in in_blocks(named, block):
+        packed = part.agg(F.collect_list(F.struct("p", "b")).alias("__protos"))  # one row
+        here = F.array_max(F.transform("__protos", lambda x: F.struct(F.round(cosine(F.col(vec_col), x["p"]), 6).alias("s"), x["b"].alias("b"))))
+        best = best.join(F.broadcast(packed)).withColumn("__best", F.greatest("__best", here)).drop("__protos")
+    known = F.col("__best.s") >= min_sim
+    return share(best.select(F.when(known, F.col("__best.b").cast("string")).otherwise("unclear").alias("bucket")), "bucket", digits=3)
 
 
 def share(rows: DataFrame, by: str, *, digits: int = 4) -> DataFrame:

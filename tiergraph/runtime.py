@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,3 +44,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     atexit.register(drop)
     return path
+
+
+def in_blocks(small: DataFrame, rows: int) -> list[DataFrame]:
+    """A stated set, of any size, in blocks of about so many rows that are dealt by their hash: each can be broadcast. One block at least."""
+    n = max(1, -(-small.count() // rows))
+    return [small.where(F.pmod(F.xxhash64(*small.columns), F.lit(n)) == i) for i in range(n)] if n > 1 else [small]
