@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     #: A pass is a copy of the rows, in the order of a hash of its own. All go to one task, which keeps none of them.
     passes = write_scratch(rows, "training").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
     order = passes.withColumn("turn", F.xxhash64(F.lit(seed), "epoch", F.col("id").cast("string"), "label"))
-    found = order.repartition(1).sortWithinPartitions("epoch", "turn", "id", "label").select("places", "label").mapInArrow(_learnt(rates), "place int, weight double").collect()
+    found = order.coalesce(1).sortWithinPartitions("epoch", "turn", "id", "label").select("places", "label").mapInArrow(_learnt(rates), "place int, weight double").collect()
     weights = {r.place: r.weight for r in found}
     return weights.pop(-1, 0.0), dict(sorted(weights.items()))
 
