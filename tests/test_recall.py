@@ -153,3 +153,21 @@ def test_stated_sets_of_any_size_are_held_against_all_rows_in_blocks(spark, monk
     dictionary = spark.createDataFrame([(f"N{i}", x, x) for i, x in enumerate(["id", "name", "city", "state", "year"])], "node_type string, property string, text string")
     found = lambda block: sorted(map(tuple, mapping.column_matches(columns, dictionary, block=block).collect()))
     assert found(2) == found(100) and len(found(2)) >= 2
+
+
+def test_links_are_those_of_all_pairs(spark):
+    """Recall of the linker's blocking against brute force: all of it."""
+    rng = random.Random(11)
+    words = ["iowa", "ohio", "state", "university", "dental", "college", "of", "medicine", "north", "south"]
+    name = lambda: " ".join(rng.sample(words, rng.randrange(2, 5)))
+    new = spark.createDataFrame([(f"n{i}", rng.choice("ab"), name()) for i in range(25)], "id string, kind string, name string")
+    universe = spark.createDataFrame([(f"u{i}", rng.choice("ab"), name()) for i in range(40)], "id string, kind string, name string")
+    pairs = new.crossJoin(universe.select(F.col("id").alias("rid"), F.col("kind").alias("rkind"), F.col("name").alias("rname"))).where("kind = rkind and id <> rid")
+    scored = pairs.withColumn("like", resolution._likeness("name", "rname")).where("like.lexical >= 0.5")
+    scored = scored.withColumn("score", F.round(resolution.link_score(F.col("like.lexical"), F.col("like.cosine"), F.col("name"), F.col("rname")), 4)).where(F.col("score") >= resolution.REVIEW)
+    best = {}
+    for r in sorted(scored.collect(), key=lambda r: (r.id, -r.score, r.rid)):
+        best.setdefault(r.id, []).append((min(r.id, r.rid), max(r.id, r.rid), r.score))
+    want = sorted(x for rows in best.values() for x in rows[:3])
+    got = sorted((r.low_id, r.high_id, r.score) for r in resolution.link_entities(new, universe, top_k=3).collect())
+    assert want and got == want
