@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tiergraph.llm import jaccard_join as J
 
@@ -109,3 +110,18 @@ def test_classes_that_share_their_signature_bits_lose_no_link(spark, monkeypatch
     rows = corpus(77, n=120)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=4, den=5, block=block, most=most).collect()}
     assert got == brute(rows, 3, 4, 5)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_links_are_joined_up_by_one_task_or_in_rounds(spark, kind, monkeypatch):
+    from tiergraph.llm import _components as K
+
+    rng = random.Random(5)
+    pairs = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(i, i + 1) for i in range(200, 260)] + [(7, 7)]
+    edges = spark.createDataFrame(pairs, "a long, b long").select(*[F.col(c).cast(kind) for c in "ab"])
+    rounds, star = [], K._small_star
+    monkeypatch.setattr(K, "_small_star", lambda e: rounds.append(1) or star(e))
+    alone = {tuple(r) for r in K.connected_components(edges).collect()}
+    assert not rounds
+    assert alone == {tuple(r) for r in K.connected_components(edges, alone=0).collect()} and rounds
+    assert len(alone) == len({i for p in pairs if p[0] != p[1] for i in p}) and {c for n, c in alone if int(n) >= 200} == {type(next(iter(alone))[0])(200)}

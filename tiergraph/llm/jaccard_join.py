@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiergraph.llm._common import bounded_batches, write_scratch
+from tiergraph.llm._common import bounded_batches, drop_scratch, if_small, write_scratch
 from tiergraph.llm._components import connected_components
 from tiergraph.llm._shingles import WordHasher, mix64, shingle_set
 
@@ -289,31 +289,38 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5
     connected. Ids are long integers or can be cast to them.
     """
     bounded_batches(docs.sparkSession)
+    passing: list[DataFrame] = []
+
+    def passed(df: DataFrame, name: str) -> DataFrame:
+        """Written, and removed in the end."""
+        passing.append(write_scratch(df, name))
+        return passing[-1]
+
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = write_scratch(texts.mapInArrow(_sign(width, num, den), "doc_id long, n_shingles long, c1 long, c2 long, needs array<int>, sketch binary"), "signed")
-    classes = write_scratch(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "c1", "c2").agg(F.min("doc_id").alias("node"), F.min("sketch").alias("of")), "classes")
+    signed = passed(texts.mapInArrow(_sign(width, num, den), "doc_id long, n_shingles long, c1 long, c2 long, needs array<int>, sketch binary"), "signed")
+    classes = passed(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "c1", "c2").agg(F.min("doc_id").alias("node"), F.min("sketch").alias("of")), "classes")
     members = write_scratch(signed.select("doc_id", "n_shingles", "c1", "c2").join(classes.drop("of"), ["n_shingles", "c1", "c2"], "left"), "members")
     #: Signatures carry 63 bits of a class. Different classes with the same ones have all signatures of either, so none loses a link.
     sketches = classes.select("node", "of")
     classes = classes.select("c1", "node", F.col("n_shingles").alias("size"))
-    same_bits = write_scratch(classes.groupBy("c1").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "same_bits")
+    same_bits = passed(classes.groupBy("c1").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "same_bits")
 
     #: A member of a signature is a class in one of its bands. Members come in order, and those alone with theirs are left out in passing.
     dealt = texts.where("doc_id is not null").select("text").mapInArrow(_emit(width, num, den), "sig long, c long").repartition("sig").sortWithinPartitions("sig", "c")
-    rows = write_scratch(dealt.mapInArrow(_shared, "sig long, c long"), "shared")
+    rows = passed(dealt.mapInArrow(_shared, "sig long, c long"), "shared")
     #: Classes that share fewer signatures, with whomever, than a similar set would are out.
     known = signed.where("doc_id is not null")
     needs = known.select("c1", F.posexplode("needs").alias("at", "need")).select((F.col("c1") + F.col("at")).alias("c"), "need").distinct()
-    enough = write_scratch(rows.groupBy("c").agg(F.count("*").alias("n")).join(needs, "c").where("n >= need").select("c").distinct(), "enough")
+    enough = passed(rows.groupBy("c").agg(F.count("*").alias("n")).join(needs, "c").where("n >= need").select("c").distinct(), "enough")
     rows = rows.join(enough, "c", "left_semi")
     marks = rows.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64("c")).alias("mark")).where("low <> high")
-    marks = write_scratch(marks, "marks")
-    rows = write_scratch(rows.join(marks, "sig").join(classes.withColumnRenamed("c1", "__c1"), F.col("c").bitwiseAND(F.lit(-2)) == F.col("__c1")).select("sig", F.col("__c1").alias("c1"), "node", "size", "low", "high", "rows", "mark"), "rows")
+    marks = passed(marks, "marks")
+    rows = passed(rows.join(marks, "sig").join(classes.withColumnRenamed("c1", "__c1"), F.col("c").bitwiseAND(F.lit(-2)) == F.col("__c1")).select("sig", F.col("__c1").alias("c1"), "node", "size", "low", "high", "rows", "mark"), "rows")
 
     #: What signatures tie together is one task's work where it is small, and each set travels once.
-    ties = write_scratch(rows.select(F.col("low").bitwiseAND(F.lit(-2)).alias("__hub"), "node").distinct(), "ties")
+    ties = passed(rows.select(F.col("low").bitwiseAND(F.lit(-2)).alias("__hub"), "node").distinct(), "ties")
     hubs = ties.join(classes.groupBy(F.col("c1").alias("__hub")).agg(F.min("node").alias("least")), "__hub")
-    placed = _placed(connected_components(hubs.select("least", "node")), classes, most)
+    placed = passed(_placed(connected_components(hubs.select("least", "node")), classes, most), "placed")
     compared = placed.where("light").select(F.col("component").alias("group"), F.lit(-1).alias("part"), F.lit(0).alias("block"), "node", "size")
     if not (heavy := placed.where("not light")).isEmpty():
         #: Else each signature is a group of its members. Of groups with the same members one is enough, that of the least signature.
@@ -322,24 +329,27 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5
         #: Large groups are dealt out as pairs of blocks: a member goes to the pair of its block and each block, its own included.
         cut = kept.withColumn("n", F.ceil(F.col("rows") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
         dealt_out = cut.select("sig", "c1", "node", "size", "block", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-        parts = write_scratch(dealt_out.select(F.col("sig").alias("group"), (F.least("block", "other") * F.col("n") + F.greatest("block", "other")).alias("part"), "block", "c1", "node", "size"), "parts")
+        parts = passed(dealt_out.select(F.col("sig").alias("group"), (F.least("block", "other") * F.col("n") + F.greatest("block", "other")).alias("part"), "block", "c1", "node", "size"), "parts")
         #: They meet as sketches first, and what these don't rule out is tied together anew.
-        again = _placed(connected_components(_compared(parts.join(sketches, "node"), num, den, exact=False)), classes, most)
+        again = passed(_placed(connected_components(_compared(parts.join(sketches, "node"), num, den, exact=False)), classes, most), "again")
         compared = compared.unionByName(again.where("light").select(F.col("component").alias("group"), F.lit(-2).alias("part"), F.lit(0).alias("block"), "node", "size"))
         compared = compared.unionByName(parts.join(again.where("not light").select("node"), "node", "left_semi").select("group", "part", "block", "node", "size"))
     #: Those that share all 63 bits may share their signatures with no one else.
     met = classes.join(same_bits.select("c1"), "c1").select(F.col("c1").alias("group"), F.lit(-3).alias("part"), F.lit(0).alias("block"), "node", "size")
-    compared = write_scratch(compared.unionByName(met), "compared")
-    sets = texts.withColumnRenamed("doc_id", "node").join(compared.select("node").distinct(), "node", "left_semi").mapInArrow(_sets(width), "node long, of binary")
-    links = _compared(compared.join(sets, "node"), num, den, exact=True)
-    return members.select("doc_id", "n_shingles", "node"), write_scratch(links, "links")
+    compared = passed(compared.unionByName(met), "compared")
+    nodes = passed(compared.select("node").distinct(), "nodes")
+    sets = texts.withColumnRenamed("doc_id", "node").join(if_small(nodes), "node", "left_semi").mapInArrow(_sets(width), "node long, of binary")
+    links = write_scratch(_compared(compared.join(sets, "node"), num, den, exact=True), "links")
+    for done in passing:
+        drop_scratch(done)
+    return members.select("doc_id", "n_shingles", "node"), links
 
 
 def _placed(tied: DataFrame, classes: DataFrame, most: int) -> DataFrame:
     """(node, size, component, light): whether all that is tied to a node fits into one task."""
     weights = tied.join(classes.select("node", "size"), "node")
     light = weights.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where((F.col("n") <= most) & (F.col("all") <= TASK_SHINGLES)).select("component", F.lit(True).alias("light"))
-    return write_scratch(weights.join(light, "component", "left").select("node", "size", "component", F.coalesce("light", F.lit(False)).alias("light")), "placed")
+    return weights.join(light, "component", "left").select("node", "size", "component", F.coalesce("light", F.lit(False)).alias("light"))
 
 
 def jaccard_components(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, most: int = TASK_MEMBERS) -> DataFrame:
