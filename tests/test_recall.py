@@ -171,3 +171,24 @@ def test_links_are_those_of_all_pairs(spark):
     want = sorted(x for rows in best.values() for x in rows[:3])
     got = sorted((r.low_id, r.high_id, r.score) for r in resolution.link_entities(new, universe, top_k=3).collect())
     assert want and got == want
+
+
+def test_index_of_many_segments_and_passes_keeps_no_shuffle_files(spark, tmp_path, monkeypatch):
+    from tiergraph.operators import lexical_index as L
+
+    monkeypatch.setattr(L, "PASS_POSTINGS", 300)
+    rng = random.Random(4)
+    rows = [(f"k{i}", " ".join(rng.choice(["aa", "Bb", "cc", "d", "the", "x1", "q,7"]) for _ in range(rng.randrange(0, 30)))) for i in range(120)] + [("k900", None)]
+    docs = spark.createDataFrame(rows, "id string, text string")
+    blocks = lambda: {b for b in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+    before = blocks()
+    index = build_index(docs, str(tmp_path / "index"), id_col="id", text_col="text")
+    assert len(list((tmp_path / "index" / "squares").glob("pass=*"))) > 3
+    #: The row of figures is gathered once; no posting is.
+    assert len(blocks() - before) <= 20 and not (tmp_path / "index" / "counts").exists()
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    lean = build_index(docs, str(tmp_path / "lean"), id_col="id", text_col="text", norms=False)
+    assert lean.postings().where("term like '% %'").isEmpty() and not (tmp_path / "lean" / "norms").exists()
+    for question in ("the aa", "d q 7", "x1 bb cc bb"):
+        assert plain(index.tfidf(question)) == plain(retrieval.tfidf_scores(docs, question, id_col="id", text_col="text"))
+        assert plain(index.bm25(question)) == plain(lean.bm25(question)) == plain(retrieval.bm25(docs, question, id_col="id", text_col="text"))

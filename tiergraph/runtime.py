@@ -46,6 +46,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def write_lean(df: DataFrame, path: str) -> None:
+    """Writes df over what is there; what the write has shuffled goes with it, not when the driver happens to collect its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def in_blocks(small: DataFrame, rows: int) -> list[DataFrame]:
     """A stated set, of any size, in blocks of about so many rows that are dealt by their hash: each can be broadcast. One block at least."""
     n = max(1, -(-small.count() // rows))
