@@ -279,15 +279,16 @@ def q22(spark, d):
     return retrieval.census(t(spark, d, "documents"), QUESTION, "text", "source")
 
 
-_INDEXES: dict[tuple[str, str], LexicalIndex] = {}
+_INDEXES: dict[tuple[str, str, bool], LexicalIndex] = {}
 
 
-def lexical_index(spark: SparkSession, d: str) -> LexicalIndex:
-    """The index of a folder's documents: built by the first query of a session that asks, as an index is, and read by all."""
+def lexical_index(spark: SparkSession, d: str, norms: bool = True) -> LexicalIndex:
+    """The index of a folder's documents: built by the first query of a session that asks, as an index is, and read by all. Without norms it is smaller; one that has them serves as well."""
     at = (spark.sparkContext.applicationId, d)
-    if at not in _INDEXES:
-        _INDEXES[at] = build_index(t(spark, d, "documents"), scratch_path(spark, "index"), id_col="doc_id", text_col="text")
-    return _INDEXES[at]
+    if (*at, norms) not in _INDEXES:
+        held = _INDEXES.get((*at, True))
+        _INDEXES[*at, norms] = held or build_index(t(spark, d, "documents"), scratch_path(spark, "index"), id_col="doc_id", text_col="text", norms=norms)
+    return _INDEXES[*at, norms]
 
 
 POSTINGS_SQL = f"p AS (SELECT doc_id, {TOKENS_SQL} AS t FROM documents), h AS (SELECT doc_id, len(t) AS length, term, len(list_filter(t, lambda x: x = term)) AS tf FROM p, unnest(['blehe', 'inst', 'reed', 'the']) u(term))"
@@ -295,7 +296,7 @@ POSTINGS_SQL = f"p AS (SELECT doc_id, {TOKENS_SQL} AS t FROM documents), h AS (S
 
 @query("q23_bm25", f"WITH {POSTINGS_SQL}, k AS (SELECT * FROM h WHERE tf > 0), n AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM p), df AS (SELECT term, count(*) AS df FROM k GROUP BY 1) SELECT doc_id AS id, round(sum(greatest(1e-6, ln((docs - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM k JOIN df USING (term), n GROUP BY 1")
 def q23(spark, d):
-    return lexical_index(spark, d).bm25(QUESTION)
+    return lexical_index(spark, d, norms=False).bm25(QUESTION)
 
 
 TFIDF_SQL = r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS t FROM documents),
